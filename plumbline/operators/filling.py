@@ -24,14 +24,25 @@ def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     return df.select(*[new[n].alias(n) if n in new else col(n) for n in df.columns])
 
 
+def _with_gaps(df: DataFrame, names: Sequence[str]) -> list[str]:
+    """The numeric columns that miss a value somewhere; one aggregate finds out."""
+    if not names:
+        return []
+    row = df.agg(*[F.count_if(value(df, n).isNull()).alias(f"gaps{i}") for i, n in enumerate(names)]).first()
+    return [n for i, n in enumerate(names) if row[f"gaps{i}"]]
+
+
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing numbers become the column's exact median; the columns become doubles."""
-    medians = quantile_values(df, columns, [0.5])
+    """Missing numbers become the column's exact median, and the column a double.
+
+    A column without gaps keeps its type and is not touched.
+    """
+    names = _with_gaps(df, numeric_columns(df, columns))
     return _replace(
         df,
         {
             name: F.coalesce(value(df, name).cast("double"), F.lit(middle).cast("double"))
-            for name, (middle,) in medians.items()
+            for name, (middle,) in quantile_values(df, names, [0.5]).items()
         },
     )
 
@@ -53,8 +64,8 @@ def impute_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing numbers become the column's mean; the columns become doubles."""
-    names = numeric_columns(df, columns)
+    """Missing numbers become the column's mean, and the column a double; others stay as they are."""
+    names = _with_gaps(df, numeric_columns(df, columns))
     if not names:
         return df
     means = df.agg(F.struct(*[F.avg(value(df, n).cast("double")).alias(n) for n in names]).alias("s")).scalar()
