@@ -20,10 +20,8 @@ def _flat(kind: T.DataType, c: Column, name: str, sep: str) -> list[tuple[str, C
             flat += _flat(field.dataType, c.getField(field.name), f"{name}{sep}{field.name}", sep)
         return flat
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        return [
-            (f"{name}{sep}{field.name}", F.transform(c, lambda item, f=field.name: item.getField(f)))
-            for field in kind.elementType.fields
-        ]
+        # A field of an array of structs is the array of that field.
+        return [(f"{name}{sep}{field.name}", c.getField(field.name)) for field in kind.elementType.fields]
     if isinstance(kind, T.ArrayType):
         return [(f"{name}{sep}length", F.array_size(c)), (f"{name}{sep}items", c)]
     return [(name, c)]

@@ -41,13 +41,13 @@ def _inferred(text: DataFrame) -> dict[str, str]:
     tests = []
     for i, name in enumerate(text.columns):
         c = col(name)
-        whole = F.trim(c).rlike(PLAIN_INTEGER) & F.trim(c).try_cast("long").isNotNull()
-        tests += [
-            F.bool_and(whole).alias(f"long{i}"),
-            F.bool_and(to_double(c).isNotNull()).alias(f"double{i}"),
-            F.bool_and(F.lower(c).isin(FLAGS)).alias(f"boolean{i}"),
-            F.count(c).alias(f"values{i}"),
-        ]
+        fits = {
+            "long": F.trim(c).rlike(PLAIN_INTEGER) & F.trim(c).try_cast("long").isNotNull(),
+            "double": to_double(c).isNotNull(),
+            "boolean": F.lower(c).isin(FLAGS),
+        }
+        tests += [F.bool_and(F.when(c.isNotNull(), fit)).alias(f"{kind}{i}") for kind, fit in fits.items()]
+        tests.append(F.count(c).alias(f"values{i}"))
     found = text.agg(*tests).first()
     types = {}
     for i, name in enumerate(text.columns):
