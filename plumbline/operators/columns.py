@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,16 +77,25 @@ def as_text(kind: T.DataType, c: Column) -> Column:
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
-    """One frame under the other."""
-    return reduce(DataFrame.unionByName, frames)
+    """One frame under the other, paired up evenly so that the plan stays shallow for many columns."""
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return stack(frames[:half]).unionByName(stack(frames[half:]))
 
 
-def one_row_each(df: DataFrame, rows: Sequence[Column], schema: str) -> DataFrame:
-    """Aggregate a frame once and return one output row per struct of aggregates.
+def one_row_each(df: DataFrame, rows: Sequence[Column], schema: str, at_once: int = 40) -> DataFrame:
+    """Aggregate a frame and return one output row per struct of aggregates.
 
-    The aggregates of all rows share a single scan and a single partial/final pair.
+    ``at_once`` rows share a scan. More would outgrow generated code, and an interpreted aggregate is
+    many times slower than a second scan, which reads only the columns it needs.
     """
     if not rows:
         return df.sparkSession.createDataFrame([], schema)
     cast_to = f"array<struct<{schema}>>"
-    return df.agg(F.array(*rows).cast(cast_to).alias("rows")).select(F.inline("rows"))
+    return stack(
+        [
+            df.agg(F.array(*rows[at : at + at_once]).cast(cast_to).alias("rows")).select(F.inline("rows"))
+            for at in range(0, len(rows), at_once)
+        ]
+    )

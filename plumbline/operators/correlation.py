@@ -22,23 +22,10 @@ def _pearson(a: Column, b: Column) -> Column:
 
 
 def _pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each pair once, in column order, split over several aggregates.
-
-    All pairs in one aggregate outgrow generated code and run interpreted, many times slower; a few
-    pairs each keep it generated, and each aggregate reads only the columns of its own pairs.
-    """
+    """Each pair once, in column order."""
     x = {name: value(df, name).cast("double") for name in names}
-    pairs = list(combinations(names, 2))
-    return stack(
-        [
-            one_row_each(
-                df,
-                [F.struct(F.lit(a), F.lit(b), _pearson(x[a], x[b])) for a, b in pairs[at : at + PAIRS_AT_ONCE]],
-                SCHEMA,
-            )
-            for at in range(0, len(pairs), PAIRS_AT_ONCE)
-        ]
-    )
+    rows = [F.struct(F.lit(a), F.lit(b), _pearson(x[a], x[b])) for a, b in combinations(names, 2)]
+    return one_row_each(df, rows, SCHEMA, PAIRS_AT_ONCE)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

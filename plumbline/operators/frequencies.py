@@ -50,9 +50,14 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def _leading(df: DataFrame, name: str, order: list[Column], k: int) -> DataFrame:
-    """The first k non-null values of a column. Each task keeps k rows; only those reach the merge."""
-    return frequency(df, name).where("value is not null").orderBy(*order).limit(k)
+def leading(groups: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """The first k non-null values of a frequency table. Each task keeps k rows; only those are merged.
+
+    NULL is sorted last and dropped after the cut, and the counts stay in use, so that the grouping
+    below is word for word the one other figures are read from and the engine runs it once for all.
+    """
+    first = groups.orderBy(F.col("value").isNull(), *order).limit(k)
+    return first.where(F.col("value").isNotNull() & (F.col("n") > 0))
 
 
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
@@ -61,7 +66,7 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
     order = [F.col("n").desc(), F.col("value").asc()]
     tops = [
         # At most k rows arrive here, so the unpartitioned window is over a handful of rows.
-        _leading(df, name, order, k).select(
+        leading(frequency(df, name), order, k).select(
             F.lit(name).alias("column"),
             F.row_number().over(Window.orderBy(*order)).alias("rank"),
             _shown(df, name).alias("value"),
@@ -77,7 +82,7 @@ def sample_values(df: DataFrame, columns: Sequence[str] | None = None, k: int =
     """``column, samples``: the k smallest distinct values as text, so that a rerun shows the same."""
     return stack(
         [
-            _leading(df, name, [F.col("value").asc()], k).agg(
+            leading(frequency(df, name), [F.col("value").asc()], k).agg(
                 F.lit(name).alias("column"),
                 F.transform(
                     F.array_sort(F.collect_list(F.struct("value", _shown(df, name).alias("shown")))),
@@ -141,7 +146,7 @@ def category_statistics(df: DataFrame, columns: Sequence[str] | None = None, k:
     entropy = F.try_divide(F.sum(present) * F.log2(total) - F.sum(present * F.log2(n)), total)
     parts = []
     for name in text_columns(df, columns):
-        common = _leading(df, name, order, k).agg(
+        common = leading(frequency(df, name), order, k).agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct((-n).alias("order"), "value"))),
                 lambda s: F.struct(s["value"].alias("value"), (-s["order"]).alias("count")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators.columns import as_text, numeric_columns, pick, stack, text_columns, type_of
-from plumbline.operators.frequencies import frequency
+from plumbline.operators.frequencies import frequency, leading
 
 # Percentages above which an issue is raised.
 MANY_NULLS = 20
@@ -53,7 +53,7 @@ def quality_signs(df: DataFrame, columns: Sequence[str] | None = None, whole: bo
         elif whole:
             part = groups.agg(*counts, *_text_signs(shown))
         else:
-            sample = groups.where("value is not null").orderBy("value").limit(SAMPLE)
+            sample = leading(groups, [F.col("value").asc()], SAMPLE)
             signs = sample.agg(F.struct(*_text_signs(shown)).alias("signs")).scalar()
             part = groups.agg(*counts).withColumn("signs", signs).select("*", "signs.*").drop("signs")
         parts.append(

@@ -26,14 +26,9 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, total_rows, null_count, null_percentage``."""
-    rows = F.count(F.lit(1))
-    structs = []
-    for name in pick(df, columns):
-        nulls = rows - F.count(value(df, name))
-        structs.append(F.struct(F.lit(name), rows, nulls, percent(nulls, rows)))
-    return one_row_each(
-        df, structs, "column string, total_rows bigint, null_count bigint, null_percentage double"
-    )
+    structs = [F.struct(F.lit(n), F.count(F.lit(1)), F.count_if(value(df, n).isNull())) for n in pick(df, columns)]
+    counted = one_row_each(df, structs, "column string, total_rows bigint, null_count bigint")
+    return counted.withColumn("null_percentage", percent(F.col("null_count"), F.col("total_rows")))
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -42,7 +37,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     for name in numeric_columns(df, columns):
         x = value(df, name).cast("double")
         structs.append(F.struct(F.lit(name), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)))
-    return one_row_each(df, structs, "column string, mean double, std double, min double, max double")
+    return one_row_each(df, structs, "column string, mean double, std double, min double, max double", 8)
 
 
 def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -53,40 +53,36 @@ def _extent(df: DataFrame, names: list[str]) -> dict[str, _Range]:
     }
 
 
-def _steps(span: _Range) -> float:
-    """Buckets per unit of half the value; infinite when the range is too narrow to divide."""
-    half = span.high / 2 - span.low / 2
-    return BUCKETS / half if half else math.inf
-
-
-def _bucket(x: Column, span: _Range) -> Column:
-    """A whole number from 0 to BUCKETS that never falls as x grows, and differs at the two ends."""
+def _place(x: Column, span: _Range) -> Column:
+    """The bucket of a value: never falls as x grows, differs at the two ends, from 0 to BUCKETS."""
     if math.isinf(span.low) or math.isinf(span.high):
         # No width to divide: order by sign and magnitude, infinities in the outer buckets.
         size = F.log1p(F.abs(x)) / math.log1p(1.7976931348623157e308) * (BUCKETS // 2 - 1)
         inner = F.signum(x) * F.floor(size) + BUCKETS // 2
         position = F.when(x == float("-inf"), F.lit(0.0)).when(x == float("inf"), F.lit(float(BUCKETS)))
-        return position.otherwise(inner).cast("int")
+        return position.otherwise(inner).cast("double")
     # Halving both sides keeps the difference finite for the widest ranges.
-    return ((x / 2 - span.low / 2) * _steps(span)).cast("int")
+    half = span.high / 2 - span.low / 2
+    if half == 0:
+        return x  # neighbouring values: as many buckets as values
+    above = x / 2 - span.low / 2
+    share = above / half * BUCKETS if math.isinf(BUCKETS / half) else above * (BUCKETS / half)
+    return share.cast("int").cast("double")
 
 
 def _entry(x: Column, spans: dict[_Range, int], by_value: bool) -> Column:
     """``span, place, x`` of one value; the place orders the groups of a span."""
-    span_of, bucket_of = F.lit(None).cast("int"), F.lit(None).cast("int")
+    span_of, place = F.lit(None).cast("int"), F.lit(None).cast("double")
     for span, number in spans.items():
         inside = x.between(F.lit(span.low), F.lit(span.high))
         span_of = F.when(inside, F.lit(number)).otherwise(span_of)
-        if not by_value:
-            bucket_of = F.when(inside, _bucket(x, span)).otherwise(bucket_of)
-    place = x if by_value else bucket_of
+        place = F.when(inside, x if by_value else _place(x, span)).otherwise(place)
     return F.struct(span_of.alias("span"), place.alias("place"), x.alias("x"))
 
 
 def _narrow(df: DataFrame, wanted: dict[tuple[str, int], _Range], by_value: bool) -> dict[tuple[str, int], _Range]:
     """One pass over the columns still open: the sub-range of every wanted rank."""
     number = {span: i for i, span in enumerate(dict.fromkeys(wanted.values()))}
-    by_value = by_value or any(math.isinf(_steps(span)) for span in number)
     entries = []
     for name in dict.fromkeys(span.column for span in number):
         mine = {span: i for span, i in number.items() if span.column == name}

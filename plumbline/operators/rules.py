@@ -1,8 +1,8 @@
 """Declarative rules on a table.
 
 A rule is ``{"expectation_type": ..., "kwargs": {...}, "meta": {...}, "rule_id": ...}``. All rules
-that look at one row at a time become counts in a single aggregate, whatever their number; only a
-uniqueness rule needs a grouping of its own.
+that look at one row at a time become counts in a shared aggregate over one scan; only a uniqueness
+rule needs a grouping of its own.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ ROW_COUNT = "expect_table_row_count_to_be_between"
 MEAN_BETWEEN = "expect_column_mean_to_be_between"
 DATE_PARSEABLE = "expect_column_values_to_be_dateutil_parseable"
 
+CHECKS_AT_ONCE = 24
+
 RESULT = (
     "rule_id string, expectation_type string, column string, element_count bigint, missing_count bigint,"
     " unexpected_count bigint, unexpected_percent double, observed_value double, success boolean"
@@ -201,32 +203,44 @@ def _row_check(df: DataFrame, rule: Rule, kinds: Mapping[str, str]) -> RowCheck
     raise ValueError(f"unknown rule type {kind_of_rule!r}")
 
 
-def _share_passes(failed: Column, of: Column, mostly: float | None) -> Column:
-    """Without rows to look at a rule holds."""
-    if mostly is None:
-        return failed == 0
-    return F.coalesce(F.try_divide(of - failed, of) >= mostly, F.lit(True))
+COUNTED = (
+    "rule_id string, expectation_type string, column string, mostly double, rows bigint, applied bigint,"
+    " failed bigint"
+)
+
+
+def _judged(counted: DataFrame) -> DataFrame:
+    """Result rows from counts. A rule holds if nothing failed, or enough passed, or there was nothing to look at."""
+    applied, failed, mostly = F.col("applied"), F.col("failed"), F.col("mostly")
+    enough = F.coalesce(F.try_divide(applied - failed, applied) >= mostly, F.lit(True))
+    return counted.select(
+        "rule_id",
+        "expectation_type",
+        "column",
+        F.col("rows").alias("element_count"),
+        (F.col("rows") - applied).alias("missing_count"),
+        failed.alias("unexpected_count"),
+        percent(failed, applied, None).alias("unexpected_percent"),
+        F.lit(None).cast("double").alias("observed_value"),
+        F.when(mostly.isNull(), failed == 0).otherwise(enough).alias("success"),
+    )
 
 
 def count_checks(df: DataFrame, checks: Sequence[RowCheck]) -> DataFrame:
-    """One result row per check, all from one scan and one aggregate."""
-    rows, structs = F.count(F.lit(1)), []
-    for check in checks:
-        applied, failed = F.count_if(check.applies), F.count_if(check.fails)
-        structs.append(
-            F.struct(
-                F.lit(check.rule_id),
-                F.lit(check.expectation_type),
-                F.lit(check.column),
-                rows,
-                rows - applied,
-                failed,
-                percent(failed, applied, None),
-                F.lit(None).cast("double"),
-                _share_passes(failed, applied, check.mostly),
-            )
+    """One result row per check; a couple of dozen checks share one scan and one aggregate."""
+    structs = [
+        F.struct(
+            F.lit(check.rule_id),
+            F.lit(check.expectation_type),
+            F.lit(check.column),
+            F.lit(check.mostly),
+            F.count(F.lit(1)),
+            F.count_if(check.applies),
+            F.count_if(check.fails),
         )
-    return one_row_each(df, structs, RESULT)
+        for check in checks
+    ]
+    return _judged(one_row_each(df, structs, COUNTED, CHECKS_AT_ONCE))
 
 
 def _table_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -264,24 +278,20 @@ def _unique_check(df: DataFrame, rule: Rule) -> DataFrame:
     """Rows whose value occurs more than once; copies are counted before they are shuffled."""
     (name,) = pick(df, [rule.kwargs["column"]])
     n, present = F.col("n"), F.col("value").isNotNull()
-    zero = F.lit(0).cast("long")
-    counts = frequency(df, name).agg(
-        F.coalesce(F.sum(n), zero).alias("rows"),
-        F.coalesce(F.sum(F.when(~present, n)), zero).alias("missing"),
-        F.coalesce(F.sum(F.when(present & (n > 1), n)), zero).alias("failed"),
-    )
-    applied = F.col("rows") - F.col("missing")
-    return counts.select(
+
+    def rows_where(holds: Column) -> Column:
+        return F.coalesce(F.sum(F.when(holds, n)), F.lit(0).cast("long"))
+
+    counted = frequency(df, name).agg(
         F.lit(rule.rule_id).alias("rule_id"),
         F.lit(rule.expectation_type).alias("expectation_type"),
         F.lit(name).alias("column"),
-        F.col("rows").alias("element_count"),
-        F.col("missing").alias("missing_count"),
-        F.col("failed").alias("unexpected_count"),
-        percent(F.col("failed"), applied, None).alias("unexpected_percent"),
-        F.lit(None).cast("double").alias("observed_value"),
-        _share_passes(F.col("failed"), applied, rule.kwargs.get("mostly")).alias("success"),
+        F.lit(rule.kwargs.get("mostly")).cast("double").alias("mostly"),
+        rows_where(F.lit(True)).alias("rows"),
+        rows_where(present).alias("applied"),
+        rows_where(present & (n > 1)).alias("failed"),
     )
+    return _judged(counted)
 
 
 def _kinds(df: DataFrame, rules: Sequence[Rule]) -> dict[str, str]:
