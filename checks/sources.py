@@ -40,9 +40,6 @@ def scan_csv(spark, sf_dir):
     return files.scan_csv(spark, _as_csv(written, spark, "orders-csv"))
 
 
-_NESTED = F.struct(F.col("o_custkey").alias("id"), F.struct("o_orderpriority", "o_orderstatus").alias("how"))
-
-
 @query(
     "scan_json",
     """SELECT o_orderkey, o_custkey AS customer_id, o_orderpriority AS customer_how_o_orderpriority,
@@ -51,7 +48,8 @@ _NESTED = F.struct(F.col("o_custkey").alias("id"), F.struct("o_orderpriority", "
 def scan_json(spark, sf_dir):
     """Each line is a document of its own: an array holding one nested object."""
     path = scratch_path(spark, "orders-json")
-    row = F.to_json(F.array(F.struct("o_orderkey", _NESTED.alias("customer"), "o_totalprice")))
+    customer = F.struct(F.col("o_custkey").alias("id"), F.struct("o_orderpriority", "o_orderstatus").alias("how"))
+    row = F.to_json(F.array(F.struct("o_orderkey", customer.alias("customer"), "o_totalprice")))
     table(spark, sf_dir, "orders").select(row).write.text(path)
     return files.scan_json(spark, path).select(
         "o_orderkey", "customer_id", "customer_how_o_orderpriority", "customer_how_o_orderstatus", "o_totalprice"
