@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ISO_SHAPE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}([.][0-9]{1,9})?)?)?$"
 
+# How every known format starts; tells other text apart at the cost of one match.
+TIME_START = r"^([0-9]{1,4}[-/. ]|[0-9]{8}$|[A-Za-z]{3,9} [0-9]{1,2}, )"
+
 # The shape decides which pattern is tried, so a value costs one parse and not one per pattern.
 # Month-first is tried before day-first.
 SHAPED_PATTERNS = (
@@ -24,46 +29,60 @@ SHAPED_PATTERNS = (
     (r"^[0-9]{8}$", "yyyyMMdd"),
 )
 
-# The C-style date directives a rule may use, and the Spark pattern of each.
+# The C-style date directives a rule may use, the Spark pattern of each, and its look.
 DIRECTIVES = {
-    "%Y": "yyyy",
-    "%y": "yy",
-    "%m": "MM",
-    "%d": "dd",
-    "%b": "MMM",
-    "%B": "MMMM",
-    "%H": "HH",
-    "%I": "hh",
-    "%M": "mm",
-    "%S": "ss",
-    "%f": "SSSSSS",
-    "%p": "a",
-    "%j": "DDD",
+    "%Y": ("yyyy", "[0-9]{4}"),
+    "%y": ("yy", "[0-9]{2}"),
+    "%m": ("MM", "[0-9]{1,2}"),
+    "%d": ("dd", "[0-9]{1,2}"),
+    "%b": ("MMM", "[A-Za-z]{3}"),
+    "%B": ("MMMM", "[A-Za-z]{3,9}"),
+    "%H": ("HH", "[0-9]{1,2}"),
+    "%I": ("hh", "[0-9]{1,2}"),
+    "%M": ("mm", "[0-9]{1,2}"),
+    "%S": ("ss", "[0-9]{1,2}"),
+    "%f": ("SSSSSS", "[0-9]{1,6}"),
+    "%p": ("a", "[AaPp][Mm]"),
+    "%j": ("DDD", "[0-9]{1,3}"),
 }
+# These take one digit as well as two, unless digits follow on directly.
+SHORT = {"MM": "M", "dd": "d", "HH": "H", "hh": "h", "mm": "m", "ss": "s", "DDD": "D"}
 
 # Day numbers count from here, and look like this.
 SERIAL_ORIGIN = "1899-12-30 00:00:00"
 SERIAL_SHAPE = r"^[0-9]{5,6}([.][0-9]+)?$"
 
 
-def to_pattern(date_format: str) -> str:
-    """A Spark datetime pattern for a format with C-style directives; Spark patterns pass through."""
+def to_pattern(date_format: str) -> tuple[str, str | None]:
+    """The Spark pattern of a format with C-style directives, and the look of text in it.
+
+    A format without directives is taken for a Spark pattern.
+    """
     if "%" not in date_format:
-        return date_format
-    pattern, rest = "", date_format
-    while rest:
-        step = 2 if rest[0] == "%" else 1
-        piece = rest[:step]
-        if step == 2 and piece not in DIRECTIVES:
+        return date_format, None
+    pieces = re.findall("%.|[^%]+", date_format)
+    pattern, shape = "", ""
+    for i, piece in enumerate(pieces):
+        if not piece.startswith("%"):
+            pattern += "'" + piece.replace("'", "''") + "'"
+            shape += re.escape(piece)
+            continue
+        if piece not in DIRECTIVES:
             raise ValueError(f"unknown date directive {piece!r} in {date_format!r}")
-        pattern += DIRECTIVES.get(piece, f"'{piece}'" if piece.isalpha() else piece)
-        rest = rest[step:]
-    return pattern
+        letters, look = DIRECTIVES[piece]
+        beside = pieces[max(i - 1, 0) : i] + pieces[i + 1 : i + 2]
+        alone = not any(other.startswith("%") for other in beside)
+        pattern += SHORT.get(letters, letters) if alone else letters
+        shape += look
+    return pattern, f"^{shape}$"
 
 
 def parse_with(text: Column, date_format: str) -> Column:
     """Text in exactly one format to a time without zone; NULL where it does not fit."""
-    return F.try_to_timestamp(text, F.lit(to_pattern(date_format))).cast("timestamp_ntz")
+    pattern, shape = to_pattern(date_format)
+    parsed = F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+    # A parse that fails is costly, a look that does not match is not.
+    return parsed if shape is None else F.when(text.rlike(shape), parsed)
 
 
 def parse_time(text: Column) -> Column:
@@ -71,7 +90,7 @@ def parse_time(text: Column) -> Column:
     bare = F.trim(text)
     tries = [F.when(bare.rlike(ISO_SHAPE), bare.try_cast("timestamp_ntz"))]
     tries += [F.when(bare.rlike(shape), parse_with(bare, pattern)) for shape, pattern in SHAPED_PATTERNS]
-    return F.coalesce(*tries)
+    return F.when(bare.rlike(TIME_START), F.coalesce(*tries))
 
 
 def drop_zone_words(text: Column) -> Column:

@@ -101,27 +101,26 @@ def _detect(df: DataFrame, name: str) -> DataFrame:
     elif isinstance(kind, (T.BooleanType,) + INTEGRAL + TEXT):
         all_words = F.bool_and(F.lower(shown).isin(BOOLEAN_WORDS))
     if isinstance(kind, NUMERIC + TEXT):
-        number = v.cast("double") if isinstance(kind, NUMERIC) else to_double(v)
+        number = v.cast("double") if isinstance(kind, NUMERIC) else F.col("number")
         all_numbers = F.bool_and(number.isNotNull())
         all_whole = F.bool_and(number == F.rint(number))
         smallest = F.min(number)
         decimals = F.max(F.length(F.regexp_extract(shown, r"[.]([0-9]*)", 1)))
+    groups = frequency(df, name).where("value is not null")
     if isinstance(kind, TEXT):
-        all_times, earliest = F.bool_and(parse_time(v).isNotNull()), F.min(parse_time(v))
-    found = (
-        frequency(df, name)
-        .where("value is not null")
-        .agg(
-            F.count(v).alias("distinct"),
-            F.sum(n).alias("present"),
-            all_words.alias("words"),
-            all_numbers.alias("numbers"),
-            all_whole.alias("whole"),
-            all_times.alias("times"),
-            smallest.alias("smallest"),
-            decimals.alias("decimals"),
-            earliest.alias("earliest"),
-        )
+        # Parsed once per distinct value, ahead of the aggregates that look at the outcome.
+        groups = groups.withColumn("number", to_double(v)).withColumn("time", parse_time(v))
+        all_times, earliest = F.bool_and(F.col("time").isNotNull()), F.min("time")
+    found = groups.agg(
+        F.count(v).alias("distinct"),
+        F.sum(n).alias("present"),
+        all_words.alias("words"),
+        all_numbers.alias("numbers"),
+        all_whole.alias("whole"),
+        all_times.alias("times"),
+        smallest.alias("smallest"),
+        decimals.alias("decimals"),
+        earliest.alias("earliest"),
     )
     empty = F.col("distinct") == 0
     ratio = F.coalesce(F.try_divide(F.col("distinct"), F.col("present")), F.lit(0.0))

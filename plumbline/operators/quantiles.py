@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.columns import numeric_columns, one_row_each, value
 
 BUCKETS = 1024
+STRIDE = 2 * BUCKETS  # room for a span's buckets in a key
 COUNT_VALUES_BELOW = 1_000_000
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -53,31 +54,30 @@ def _extent(df: DataFrame, names: list[str]) -> dict[str, _Range]:
     }
 
 
-def _place(x: Column, span: _Range) -> Column:
-    """The bucket of a value: never falls as x grows, differs at the two ends, from 0 to BUCKETS."""
+def _bucket(x: Column, span: _Range) -> Column:
+    """A whole number from 0 to BUCKETS that never falls as x grows, and differs at the two ends."""
     if math.isinf(span.low) or math.isinf(span.high):
         # No width to divide: order by sign and magnitude, infinities in the outer buckets.
         size = F.log1p(F.abs(x)) / math.log1p(1.7976931348623157e308) * (BUCKETS // 2 - 1)
         inner = F.signum(x) * F.floor(size) + BUCKETS // 2
         position = F.when(x == float("-inf"), F.lit(0.0)).when(x == float("inf"), F.lit(float(BUCKETS)))
-        return position.otherwise(inner).cast("double")
+        return position.otherwise(inner).cast("int")
     # Halving both sides keeps the difference finite for the widest ranges.
     half = span.high / 2 - span.low / 2
     if half == 0:
-        return x  # neighbouring values: as many buckets as values
+        # The ends are next to each other, with at most a value between them.
+        return F.when(x == span.low, 0).when(x == span.high, 2).otherwise(1)
     above = x / 2 - span.low / 2
-    share = above / half * BUCKETS if math.isinf(BUCKETS / half) else above * (BUCKETS / half)
-    return share.cast("int").cast("double")
+    return (above / half * BUCKETS if math.isinf(BUCKETS / half) else above * (BUCKETS / half)).cast("int")
 
 
 def _entry(x: Column, spans: dict[_Range, int], by_value: bool) -> Column:
-    """``span, place, x`` of one value; the place orders the groups of a span."""
-    span_of, place = F.lit(None).cast("int"), F.lit(None).cast("double")
+    """``key, x`` of one value: the number of its span, and with that its bucket unless values are counted."""
+    key = F.lit(None).cast("long")
     for span, number in spans.items():
-        inside = x.between(F.lit(span.low), F.lit(span.high))
-        span_of = F.when(inside, F.lit(number)).otherwise(span_of)
-        place = F.when(inside, x if by_value else _place(x, span)).otherwise(place)
-    return F.struct(span_of.alias("span"), place.alias("place"), x.alias("x"))
+        place = F.lit(number) if by_value else number * STRIDE + _bucket(x, span)
+        key = F.when(x.between(F.lit(span.low), F.lit(span.high)), place).otherwise(key)
+    return F.struct(key.alias("key"), x.alias("x"))
 
 
 def _narrow(df: DataFrame, wanted: dict[tuple[str, int], _Range], by_value: bool) -> dict[tuple[str, int], _Range]:
@@ -87,21 +87,21 @@ def _narrow(df: DataFrame, wanted: dict[tuple[str, int], _Range], by_value: bool
     for name in dict.fromkeys(span.column for span in number):
         mine = {span: i for span, i in number.items() if span.column == name}
         entries.append(_entry(value(df, name).cast("double"), mine, by_value))
-    upto = F.sum("n").over(Window.partitionBy("span").orderBy("place"))
-    counted = (
-        df.select(F.inline(F.array(*entries)))
-        .where("span is not null")
-        .groupBy("span", "place")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .withColumn("upto", upto)
-    )
+    inside = df.select(F.inline(F.array(*entries))).where("key is not null")
+    # One whole number as the key keeps the map of buckets on the fast path.
+    groups = inside.groupBy("key", "x") if by_value else inside.groupBy("key")
+    counted = groups.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    span_of = F.col("key") if by_value else F.floor(F.col("key") / STRIDE)
+    # The buckets of a span are few, and so are its values once they are counted one by one.
+    in_order = Window.partitionBy("span").orderBy("low")
+    counted = counted.withColumn("span", span_of.cast("int")).withColumn("upto", F.sum("n").over(in_order))
     # The wanted ranks of each span, counted from the span's first row.
     ranks = [[rank - span.below for (_, rank), s in wanted.items() if s == span] for span in number]
     hit = F.exists(
         F.element_at(F.lit(ranks), F.col("span") + 1),
         lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto")),
     )
-    found = counted.where(hit).collect()
+    found = counted.where(hit).select("span", "n", "low", "high", "upto").collect()
     narrowed = {}
     for (name, rank), span in wanted.items():
         for row in found:

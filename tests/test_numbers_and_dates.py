@@ -66,10 +66,21 @@ def test_format_gives_way_when_most_rows_fail(spark, fits, strict):
     assert parsed == [first] * fits + [other, None]
 
 
-def test_unknown_directive():
+def test_formats(spark):
     with pytest.raises(ValueError, match="%Q"):
         dates.to_pattern("%Q")
-    assert dates.to_pattern("%d %b %Y T%H:%M") == "dd MMM yyyy 'T'HH:mm"
+    expected = datetime(2024, 3, 5, 6, 7, 8)
+    for text, date_format in {
+        "5/3/2024 6:07:08": "%d/%m/%Y %H:%M:%S",
+        "05/03/2024 06:07:08": "%d/%m/%Y %H:%M:%S",
+        "20240305T060708": "%Y%m%dT%H%M%S",
+        "Mar 05, 24 06:07:08 AM": "%b %d, %y %I:%M:%S %p",
+        "5 March 2024 at 6:07:08.5": "%d %B %Y at %H:%M:%S.%f",
+        "2024-03-05 06:07:08": "yyyy-MM-dd HH:mm:ss",
+    }.items():
+        (found,) = values(spark, [text], lambda c, f=date_format: dates.parse_with(c, f))
+        assert found is not None and found.replace(microsecond=0) == expected, (text, found)
+    assert values(spark, ["2024-03-05", "05/03/2024x", "45/03/2024", None], lambda c: dates.parse_with(c, "%d/%m/%Y")) == [None] * 4
 
 
 def test_epoch_rounds_down(spark):
