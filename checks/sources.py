@@ -169,20 +169,29 @@ _HALVES = [f"(SELECT * FROM events WHERE ts {op} TIMESTAMP '2024-01-16')" for op
 @query(
     "anomaly_store",
     f"""SELECT 'events' AS dataset_name, '2024-01-16' AS comparison_date, '[{{"previous_rows":' || p || ',"current_rows":' || c
-    || ',"row_difference":' || (c - p) || '}}]' AS summary, '[]' AS missing_values FROM
-    (SELECT (SELECT count(*) FROM {_HALVES[0]}) AS p, (SELECT count(*) FROM {_HALVES[1]}) AS c)""",
+    || ',"row_difference":' || (c - p) || '}}]' AS summary, '[{{"column":"ts","values":' || c || '}}]' AS new_values,
+    '[{{"column":"ts","values":' || p || '}}]' AS missing_values, p + c AS "values" FROM
+    (SELECT (SELECT count(DISTINCT ts) FROM {_HALVES[0]}) AS p, (SELECT count(DISTINCT ts) FROM {_HALVES[1]}) AS c)""",
 )
 def anomaly_store(spark, sf_dir):
-    """A comparison is kept and found again."""
+    """A comparison is kept and found again, with the values that came and went."""
     path, events = scratch_path(spark, "anomalies"), table(spark, sf_dir, "events")
     cut = F.lit("2024-01-16").cast("timestamp_ntz")
     before, now = events.where(F.col("ts") < cut), events.where(F.col("ts") >= cut)
     summary = drift.drift_summary(before, now).select("previous_rows", "current_rows", "row_difference")
-    categories = drift.drift_categories(before, now, ["event_type"])
-    parts = [categories.where(F.col("change") == change) for change in ("new", "missing")]
-    history.store_anomalies(summary, drift.drift_numeric(before, now), *parts, path, "events", date(2024, 1, 16))
+    categories = drift.drift_categories(before, now, ["event_type", "ts"])
+    day = date(2024, 1, 16)
+    report_id = history.store_anomalies(summary, drift.drift_numeric(before, now), categories, path, "events", day)
     latest = history.latest_anomalies(spark, path, "events")
-    return latest.select("dataset_name", F.col("comparison_date").cast("string"), "summary", "missing_values")
+    kept = history.anomaly_values(spark, path, "events", report_id).agg(F.count(F.lit(1)).alias("values")).scalar()
+    return latest.select(
+        "dataset_name",
+        F.col("comparison_date").cast("string").alias("comparison_date"),
+        "summary",
+        "new_values",
+        "missing_values",
+        kept.alias("values"),
+    )
 
 
 @query(

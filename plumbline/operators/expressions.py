@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.dates import epoch_seconds, parse_time_or_serial, parse_with
-from plumbline.functions.numbers import parse_flag, parse_number
-from plumbline.operators.column_types import detect_types
-from plumbline.operators.columns import NUMERIC, TEMPORAL, TEXT, col, pick, type_of, value
+from plumbline.functions.dates import epoch_seconds, parse_time, parse_time_or_serial, parse_with
+from plumbline.functions.numbers import parse_flag, parse_number, to_double
+from plumbline.operators.column_types import BOOLEAN_WORDS
+from plumbline.operators.columns import NUMERIC, TEMPORAL, TEXT, col, one_row_each, pick, type_of, value
 
 
 def _modulo(a: Column, b: Column) -> Column:
@@ -85,11 +85,23 @@ def columns_in(text: str, columns: Iterable[str]) -> list[str]:
 
 
 def text_kinds(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
-    """The detected base type of the text columns among those named: one job, one row each back."""
-    texts = [n for n in pick(df, sorted(set(columns))) if isinstance(type_of(df, n), TEXT)]
-    if not texts:
-        return {}
-    return {row["column"]: row["base_type"] for row in detect_types(df, texts).collect()}
+    """Whether text columns hold flags, numbers, times or neither, tried in this order on all values.
+
+    One aggregate without a shuffle of values; a row per column comes back to choose how to read it.
+    """
+    structs = []
+    for name in [n for n in pick(df, sorted(set(columns))) if isinstance(type_of(df, n), TEXT)]:
+        c = col(name)
+        tests = {
+            "boolean": F.lower(c).isin(BOOLEAN_WORDS),
+            "numeric": to_double(c).isNotNull(),
+            "datetime": parse_time(c).isNotNull(),
+        }
+        kind = F.lit("string")
+        for word, holds in reversed(tests.items()):
+            kind = F.when(F.bool_and(F.when(c.isNotNull(), holds)), word).otherwise(kind)
+        structs.append(F.struct(F.lit(name), kind))
+    return {row["column"]: row["kind"] for row in one_row_each(df, structs, "column string, kind string", 8).collect()}
 
 
 def is_time(df: DataFrame, name: str, kinds: Mapping[str, str]) -> bool:
@@ -156,7 +168,3 @@ def parse_datetime(df: DataFrame, column: str, date_format: str | None = None) -
 def needs_arithmetic(text: str) -> bool:
     """Whether a rule's second column is an expression and not a name."""
     return bool(re.search(r"[*+\-/%]", text)) and not text.isidentifier()
-
-
-def used_columns(df: DataFrame, texts: Sequence[str]) -> list[str]:
-    return sorted({name for text in texts for name in columns_in(text, df.columns)})

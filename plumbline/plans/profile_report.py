@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import percent
 from plumbline.operators.columns import pick
+from plumbline.operators.correlation import correlations
 from plumbline.operators.frequencies import distinct_counts, top_values
 from plumbline.operators.measures import numeric_stats, table_summary
 from plumbline.operators.quantiles import quartiles
@@ -37,5 +38,10 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def profile_report(df: DataFrame) -> dict[str, DataFrame]:
-    """``summary``, ``columns`` and ``top_values`` of a table."""
-    return {"summary": table_summary(df), "columns": column_profile(df), "top_values": top_values(df)}
+    """``summary``, ``columns``, ``top_values`` and ``correlations`` of a table."""
+    return {
+        "summary": table_summary(df),
+        "columns": column_profile(df),
+        "top_values": top_values(df),
+        "correlations": correlations(df),
+    }

@@ -123,6 +123,15 @@ def _flat_objects(df: DataFrame, sep: str) -> DataFrame:
     return df
 
 
+def scan_file(spark: SparkSession, path: str) -> DataFrame:
+    """A file by its extension: ``csv``, ``json`` (a document or lines) or ``jsonl``."""
+    readers = {"csv": scan_csv, "json": scan_json, "jsonl": scan_jsonl}
+    extension = path.lower().rsplit(".", 1)[-1]
+    if extension not in readers:
+        raise ValueError(f"no reader for {extension!r} files; there are {', '.join(readers)}")
+    return readers[extension](spark, path)
+
+
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """``name, path, size, modified`` of the files in a folder; their content is not read."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)

@@ -1,7 +1,9 @@
 """Profiles and comparison reports kept over time.
 
-Each kind of report is one append-only Parquet table, partitioned by the data set it is about, so the
-latest report of a data set reads that data set's partition only.
+Each kind of report is an append-only Parquet table, partitioned by the data set it is about, so the
+latest report of a data set reads that data set's partition only. A report is one row of JSON texts
+with an entry per column. The values a comparison found new or missing have no such bound: they are
+kept as rows of a table of their own, under the report's id.
 """
 
 from __future__ import annotations
@@ -25,8 +27,7 @@ def as_json_list(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias(name))
 
 
-def _append(df: DataFrame, path: str, dataset: str) -> str:
-    report_id = uuid.uuid4().hex
+def _append(df: DataFrame, path: str, dataset: str, report_id: str) -> str:
     row = df.select(
         F.lit(report_id).alias("id"), "*", F.current_timestamp().alias("created_at"), F.lit(dataset).alias("dataset_name")
     )
@@ -44,27 +45,45 @@ def store_profile(
         "summary",
         as_json_list(column_profiles, "column_profiles").scalar().alias("column_profiles"),
     )
-    return _append(profile, path, dataset)
+    return _append(profile, path, dataset, uuid.uuid4().hex)
 
 
 def store_anomalies(
     summary: DataFrame,
     column_anomalies: DataFrame,
-    new_values: DataFrame,
-    missing_values: DataFrame,
+    categories: DataFrame,
     path: str,
     dataset: str,
     comparison_date: date,
 ) -> str:
-    """Append a comparison report and return its id."""
+    """Append a comparison report and return its id.
+
+    ``categories`` are the ``column, category, change`` rows of the comparison. The report holds how
+    many there are per column. The values are written first, so a report that is there is complete.
+    """
+    report_id = uuid.uuid4().hex
+    values = categories.withColumns({"id": F.lit(report_id), "dataset_name": F.lit(dataset)})
+    values.write.mode("append").partitionBy("dataset_name", "id").parquet(f"{path}/values")
+    kept = anomaly_values(summary.sparkSession, path, dataset, report_id)
+
+    def counts(change: str) -> DataFrame:
+        return kept.where(F.col("change") == change).groupBy("column").agg(F.count(F.lit(1)).alias("values"))
+
     report = as_json_list(summary, "summary").select(
         F.lit(comparison_date).cast("date").alias("comparison_date"),
         "summary",
         as_json_list(column_anomalies, "column_anomalies").scalar().alias("column_anomalies"),
-        as_json_list(new_values, "new_values").scalar().alias("new_values"),
-        as_json_list(missing_values, "missing_values").scalar().alias("missing_values"),
+        as_json_list(counts("new"), "new_values").scalar().alias("new_values"),
+        as_json_list(counts("missing"), "missing_values").scalar().alias("missing_values"),
     )
-    return _append(report, path, dataset)
+    return _append(report, f"{path}/reports", dataset, report_id)
+
+
+def anomaly_values(spark: SparkSession, path: str, dataset: str, report_id: str) -> DataFrame:
+    """``column, category, change`` of a stored comparison; reads that report's values only."""
+    stored = spark.read.schema("column string, category string, change string, dataset_name string, id string")
+    of_report = (F.col("dataset_name") == dataset) & (F.col("id") == report_id)
+    return stored.parquet(f"{path}/values").where(of_report).select("column", "category", "change")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +91,7 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{ANOMALY_FIELDS}, dataset_name string").parquet(path)
+    return spark.read.schema(f"{ANOMALY_FIELDS}, dataset_name string").parquet(f"{path}/reports")
 
 
 def latest_per_key(df: DataFrame, key: str, newest: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import filling, nested
 from plumbline.operators.column_types import json_rows, narrow_dates, rename_spaces
 from plumbline.operators.measures import null_profile, table_shape
+from plumbline.plans.source_report import analyze_file, analyze_table
 from plumbline.session import scratch_dir, scratch_path, stage
 from plumbline.sources import files, history, reports, rulesets, tables
 
@@ -149,9 +150,16 @@ def test_history_keeps_all_and_finds_the_latest(spark, tmp_path, products):
     assert latest["id"] == ids[1] and json.loads(latest["summary"]) == [{"rows": 5}]
     assert {c["column"]: c["null_count"] for c in json.loads(latest["column_profiles"])}["price"] == 1
     assert history.latest_profile(spark, path, "nobody").count() == 0
-    gaps = spark.createDataFrame([], "column string, category string")
-    stored = history.store_anomalies(summary, columns, gaps, gaps, str(tmp_path / "a"), "shop", date(2024, 1, 1))
-    assert history.latest_anomalies(spark, str(tmp_path / "a"), "shop").first()["id"] == stored
+    changes = spark.createDataFrame([("kind", "x", "new"), ("kind", "y", "new"), ("kind", "z", "missing")], "column string, category string, change string")
+    at = str(tmp_path / "a")
+    older = history.store_anomalies(summary, columns, changes.limit(0), at, "shop", date(2024, 1, 1))
+    newer = history.store_anomalies(summary, columns, changes, at, "shop", date(2024, 1, 2))
+    latest = history.latest_anomalies(spark, at, "shop").first()
+    assert latest["id"] == newer and latest["comparison_date"] == date(2024, 1, 2)
+    assert json.loads(latest["new_values"]) == [{"column": "kind", "values": 2}]
+    assert json.loads(latest["missing_values"]) == [{"column": "kind", "values": 1}]
+    assert sorted(history.anomaly_values(spark, at, "shop", newer).collect()) == sorted(changes.collect())
+    assert history.anomaly_values(spark, at, "shop", older).count() == 0
 
 
 def test_rule_sets(spark, tmp_path):
@@ -208,3 +216,20 @@ def test_scratch(spark):
     frame = spark.range(5).withColumn("y", F.col("id") * 2)
     staged = stage(frame)
     assert sorted(staged.collect()) == sorted(frame.collect()) and staged.schema.names == frame.schema.names
+
+
+def test_reports_on_a_file_and_a_table(spark, tmp_path, products):
+    path = tmp_path / "products.csv"
+    path.write_text(PRODUCTS)
+    listed = {"expectations": [{"expectation_type": "expect_column_values_to_not_be_null", "column": "product name"}]}
+    report = analyze_file(spark, str(path), listed, str(tmp_path / "out"))
+    assert report["rules"].first()["column"] == "product_name" and report["rules"].first()["unexpected_count"] == 1
+    written = reports.read_report(spark, str(tmp_path / "out" / "metrics"))
+    assert {r["column"]: r["null_count"] for r in written.collect()}["price"] == 1
+    assert {r["issue_type"] for r in reports.read_report(spark, str(tmp_path / "out" / "issues")).collect()} >= {"inconsistent_casing"}
+    name = f"products_{uuid.uuid4().hex}"
+    tables.write_table(rename_spaces(products), name, path=str(tmp_path / "t"))
+    of_table = analyze_table(spark, name)
+    assert of_table["metadata"].count() == 6 and of_table["value_counts"].where("column = 'kind'").count() == 5
+    with pytest.raises(ValueError, match="xlsx"):
+        files.scan_file(spark, "x.xlsx")
