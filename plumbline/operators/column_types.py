@@ -12,11 +12,13 @@ from plumbline.functions.dates import is_midnight, parse_time
 from plumbline.functions.numbers import to_double
 from plumbline.operators.columns import (
     INTEGRAL,
+    LONG_TEXT,
     NUMERIC,
     TEMPORAL,
     TEXT,
     WITH_TIME,
     as_text,
+    bounded,
     col,
     of_kind,
     one_row_each,
@@ -89,6 +91,30 @@ def _fixed(x: Column, decimals: Column) -> Column:
     return F.call_function("format_string", F.concat(F.lit("%."), decimals.cast("string"), F.lit("f")), x)
 
 
+def _decimals(text: Column) -> Column:
+    return F.length(F.regexp_extract(text, r"[.]([0-9]*)", 1))
+
+
+def _text_groups(df: DataFrame, name: str) -> DataFrame:
+    """``value, n, number, decimals, time`` of the different texts, each parsed once however often it occurs.
+
+    Texts too long to group by themselves are no times or flags; what number they hold, if any, is
+    read before they give way to their digest.
+    """
+    c, v = col(name), F.col("value")
+    long = F.octet_length(c) > LONG_TEXT
+    read_ahead = F.when(long, F.struct(to_double(c).alias("number"), _decimals(c).alias("decimals")))
+    rows = df.select(bounded(df, name).alias("value"), read_ahead.alias("long")).where("value is not null")
+    groups = rows.groupBy("value", "long").agg(F.count(F.lit(1)).alias("n"))
+    return groups.select(
+        "value",
+        "n",
+        F.when(F.col("long").isNull(), to_double(v)).otherwise(F.col("long.number")).alias("number"),
+        F.when(F.col("long").isNull(), _decimals(v)).otherwise(F.col("long.decimals")).alias("decimals"),
+        F.when(F.col("long").isNull(), parse_time(v)).alias("time"),
+    )
+
+
 def _detect(df: DataFrame, name: str) -> DataFrame:
     kind = type_of(df, name)
     v, n = F.col("value"), F.col("n")
@@ -105,11 +131,10 @@ def _detect(df: DataFrame, name: str) -> DataFrame:
         all_numbers = F.bool_and(number.isNotNull())
         all_whole = F.bool_and(number == F.rint(number))
         smallest = F.min(number)
-        decimals = F.max(F.length(F.regexp_extract(shown, r"[.]([0-9]*)", 1)))
+        decimals = F.max(_decimals(shown) if isinstance(kind, NUMERIC) else F.col("decimals"))
     groups = frequency(df, name).where("value is not null")
     if isinstance(kind, TEXT):
-        # Parsed once per distinct value, ahead of the aggregates that look at the outcome.
-        groups = groups.withColumn("number", to_double(v)).withColumn("time", parse_time(v))
+        groups = _text_groups(df, name)
         all_times, earliest = F.bool_and(F.col("time").isNotNull()), F.min("time")
     found = groups.agg(
         F.count(v).alias("distinct"),

@@ -67,6 +67,24 @@ def value(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
+# Longer texts are grouped by their digest. A digest is longer than this itself, so it equals no text kept as it is.
+LONG_TEXT = 64
+
+
+def bounded(df: DataFrame, name: str) -> Column:
+    """A column's values as grouping keys of bounded width.
+
+    Texts over 64 bytes are replaced by their SHA-256 digest, so counting how many differ ships a
+    short key for each instead of the whole text.
+    """
+    c = value(df, name)
+    if isinstance(type_of(df, name), T.BinaryType):
+        c = F.hex(c)
+    elif not isinstance(type_of(df, name), TEXT + (T.MapType, T.VariantType)):
+        return c
+    return F.when(F.octet_length(c) > LONG_TEXT, F.concat(F.lit("sha2:"), F.sha2(c, 256))).otherwise(c)
+
+
 def as_text(kind: T.DataType, c: Column) -> Column:
     """The text shown for a value of the given type."""
     if isinstance(kind, (T.ArrayType, T.StructType)):

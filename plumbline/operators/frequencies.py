@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import percent
-from plumbline.operators.columns import as_text, one_row_each, pick, stack, text_columns, type_of, value
+from plumbline.operators.columns import TEXT, as_text, bounded, one_row_each, pick, stack, text_columns, type_of, value
 
 
 def frequency(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def frequency(df: DataFrame, name: str) -> DataFrame:
     return df.select(value(df, name).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def kind_counts(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`frequency`, with long texts known by their digest: for counting, not for showing."""
+    return df.select(bounded(df, name).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def row_total(df: DataFrame) -> Column:
     """The row count as a scalar subquery: one cheap job, no join."""
     return df.agg(F.count(F.lit(1)).alias("rows")).scalar()
@@ -78,11 +83,29 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
     return stack(tops)
 
 
+def smallest_values(df: DataFrame, name: str, k: int) -> DataFrame:
+    """``value, n`` of the k smallest distinct values.
+
+    For text the values are not all grouped, which would ship every different text. They are dealt
+    into 8k groups by hash, and the least of each group compared: the k-th of those is no less than
+    the k-th smallest value, so only values up to it take part. With fewer than k groups filled there
+    is no such limit, and no need of one.
+    """
+    order = [F.col("value").asc()]
+    if not isinstance(type_of(df, name), TEXT):
+        return leading(frequency(df, name), order, k)
+    values = df.select(value(df, name).alias("value")).where("value is not null")
+    least = values.groupBy(F.pmod(F.xxhash64("value"), F.lit(8 * k))).agg(F.min("value").alias("least"))
+    limit = least.agg(F.get(F.array_sort(F.collect_list("least")), F.lit(k - 1)).alias("limit")).scalar()
+    few = values.where(F.col("value") <= F.coalesce(limit, F.col("value")))
+    return leading(few.groupBy("value").agg(F.count(F.lit(1)).alias("n")), order, k)
+
+
 def sample_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """``column, samples``: the k smallest distinct values as text, so that a rerun shows the same."""
     return stack(
         [
-            leading(frequency(df, name), [F.col("value").asc()], k).agg(
+            smallest_values(df, name, k).agg(
                 F.lit(name).alias("column"),
                 F.transform(
                     F.array_sort(F.collect_list(F.struct("value", _shown(df, name).alias("shown")))),
@@ -99,7 +122,7 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     n = F.col("n")
     return stack(
         [
-            frequency(df, name).agg(
+            kind_counts(df, name).agg(
                 F.lit(name).alias("column"),
                 F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
                 F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("nulls"),

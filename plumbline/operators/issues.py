@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators.columns import as_text, numeric_columns, pick, stack, text_columns, type_of
-from plumbline.operators.frequencies import frequency, leading
+from plumbline.operators.frequencies import frequency, kind_counts, smallest_values
 
 # Percentages above which an issue is raised.
 MANY_NULLS = 20
@@ -42,20 +42,18 @@ def quality_signs(df: DataFrame, columns: Sequence[str] | None = None, whole: bo
     parts = []
     for name in pick(df, columns):
         shown = as_text(type_of(df, name), F.col("value"))
-        groups = frequency(df, name)
         counts = [
             F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("nulls"),
             F.count("value").alias("distinct"),
         ]
         if name not in texts:
-            part = groups.agg(*counts).select("*", *[F.lit(0).cast("long").alias(s) for s in SIGNS])
+            part = kind_counts(df, name).agg(*counts).select("*", *[F.lit(0).cast("long").alias(s) for s in SIGNS])
         elif whole:
-            part = groups.agg(*counts, *_text_signs(shown))
+            part = frequency(df, name).agg(*counts, *_text_signs(shown))
         else:
-            sample = leading(groups, [F.col("value").asc()], SAMPLE)
-            signs = sample.agg(F.struct(*_text_signs(shown)).alias("signs")).scalar()
-            part = groups.agg(*counts).withColumn("signs", signs).select("*", "signs.*").drop("signs")
+            signs = smallest_values(df, name, SAMPLE).agg(F.struct(*_text_signs(shown)).alias("signs")).scalar()
+            part = kind_counts(df, name).agg(*counts).withColumn("signs", signs).select("*", "signs.*").drop("signs")
         parts.append(
             part.select(
                 F.lit(name).alias("column"), F.lit(name in texts).alias("is_text"), F.lit(name in numbers).alias("is_number"), "*"

@@ -29,7 +29,7 @@ from plumbline.operators.expressions import (
     needs_arithmetic,
     text_kinds,
 )
-from plumbline.operators.frequencies import frequency
+from plumbline.operators.frequencies import kind_counts
 
 NOT_NULL = "expect_column_values_to_not_be_null"
 IN_SET = "expect_column_values_to_be_in_set"
@@ -282,7 +282,7 @@ def _unique_check(df: DataFrame, rule: Rule) -> DataFrame:
     def rows_where(holds: Column) -> Column:
         return F.coalesce(F.sum(F.when(holds, n)), F.lit(0).cast("long"))
 
-    counted = frequency(df, name).agg(
+    counted = kind_counts(df, name).agg(
         F.lit(rule.rule_id).alias("rule_id"),
         F.lit(rule.expectation_type).alias("expectation_type"),
         F.lit(name).alias("column"),

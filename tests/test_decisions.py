@@ -169,3 +169,24 @@ def test_wide_table(spark):
     assert len(by_column(measures.numeric_stats(wide))) == 60
     assert by_column(measures.numeric_stats(wide))["c60"]["max"] == 49 * 60.0
     assert measures.null_profile(wide).count() == 60
+
+
+def test_long_texts_count_like_short_ones(spark):
+    long, digest_like = "x" * 500, "sha2:" + "0" * 64
+    words = [long, long, long + "y", digest_like, "short", None, "9" * 80, "0." + "0" * 70 + "25"]
+    frame = spark.createDataFrame([(w, w.encode() if w else None) for w in words], "w string, b binary")
+    unique = by_column(frequencies.unique_profile(frame))
+    assert unique["w"]["unique"] == unique["b"]["unique"] == 6 and unique["w"]["unique_count"] == 7
+    assert measures.duplicate_rows(frame).first()["duplicate_rows"] == 1
+    numbers = frame.where("w rlike '^[0-9.]+$'")
+    found = by_column(detect_types(numbers, ["w"]))["w"]
+    assert (found["base_type"], found["specific_type"]) == ("numeric", "float") and found["unique_ratio"] == 1.0
+    assert found["sample_format"].startswith("0." + "0" * 70 + "25")
+    assert by_column(detect_types(frame, ["w"]))["w"]["base_type"] == "string"
+
+
+@pytest.mark.parametrize("different", [0, 3, 10, 11, 500])
+def test_smallest_texts(spark, different):
+    words = [f"w{i:04d}" for i in range(different)] * 3 + ["w0000"] * (200 if different else 0) + [None] * 5
+    frame = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    assert by_column(frequencies.sample_values(frame))["w"]["samples"] == sorted({w for w in words if w})[:10]
