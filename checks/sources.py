@@ -145,7 +145,7 @@ _SUMMARY = """SELECT '[{"rows":' || count(*) || ',"columns":6}]' FROM orders"""
 
 @query(
     "profile_store",
-    f"""SELECT 'orders' AS dataset_name, '2024-02-01 00:00:00' AS at, ({_SUMMARY}) AS summary,
+    f"""SELECT 'orders' AS dataset_name, epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT AS at, ({_SUMMARY}) AS summary,
     (SELECT '[' || string_agg('{{"column":"' || c || '","total_rows":' || n || ',"null_count":' || m || '}}', ',' ORDER BY c) || ']'
      FROM ({each(COLUMNS["orders"], lambda c: f"SELECT '{c}' AS c, count(*) AS n, count(*) - count({c}) AS m FROM {GAPPY}")}))
     AS column_profiles""",
@@ -159,8 +159,7 @@ def profile_store(spark, sf_dir):
         history.store_profile(summary, rows, path, "orders", datetime(2024, month, 1, tzinfo=timezone.utc))
     history.store_profile(summary, profile, path, "others", datetime(2024, 3, 1, tzinfo=timezone.utc))
     latest = history.latest_profile(spark, path, "orders")
-    at = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
-    return latest.select("dataset_name", at.alias("at"), "summary", "column_profiles")
+    return latest.select("dataset_name", F.unix_seconds("timestamp").alias("at"), "summary", "column_profiles")
 
 
 _HALVES = [f"(SELECT * FROM events WHERE ts {op} TIMESTAMP '2024-01-16')" for op in ("<", ">=")]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.numbers import PLAIN_INTEGER, to_double
 from plumbline.operators.columns import col
@@ -62,6 +63,18 @@ def _as(kind: str, c: Column) -> Column:
     return to_double(c) if kind == "double" else F.trim(c).try_cast(kind)
 
 
+def _cells(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> DataFrame:
+    """All cells as text. A row with too few has nulls at its end; one with too many is an error."""
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    names = reader.csv(path).columns
+    odd = "_row_of_another_width"
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, odd]])
+    rows = reader.schema(fields).option("columnNameOfCorruptRecord", odd).csv(path)
+    too_long = F.raise_error(F.concat(F.lit("more cells than columns: "), F.col(odd))).cast("string")
+    last = F.when(F.col(odd).isNotNull() & col(names[-1]).isNotNull(), too_long).otherwise(col(names[-1]))
+    return rows.select(*[col(n) for n in names[:-1]], last.alias(names[-1]))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -75,8 +88,7 @@ def scan_csv(
     else text. A cell that a given schema does not fit is null. Set ``multi_line`` when quoted cells
     hold line breaks; such files cannot be split between tasks.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    raw = reader.option("nullValue", "").csv(path)
+    raw = _cells(spark, path, multi_line)
     text = raw.select(*[F.when(~col(n).isin(list(null_tokens)), col(n)).alias(n) for n in raw.columns])
     if schema is not None:
         fields = spark.createDataFrame([], schema).schema.fields
@@ -91,16 +103,32 @@ def scan_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str | Non
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _is_json(line: Column) -> Column:
+    return F.try_parse_json(line).isNotNull()
+
+
+def _by_line(spark: SparkSession, path: str | Sequence[str]) -> bool:
+    """Whether every line is JSON by itself. Lines of which only some are, from the first on, are an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if not lines.where(~_is_json(F.col("value"))).take(1):
+        return True
+    # In a document that spans lines the first line of a file is a beginning and no more.
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    firsts = placed.groupBy("file").agg(F.min_by("value", "at").alias("first"))
+    if firsts.where(_is_json(F.col("first"))).take(1):
+        raise ValueError(f"{path} starts as JSON lines, but some lines are not JSON")
+    return False
+
+
 def scan_json(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, sep: str = "_") -> DataFrame:
     """A JSON document (an object or an array of objects), nested objects flattened; else JSON lines.
 
     A document that spans lines is read whole by one task per file, as its format demands; files with
-    a record per line, or an array on one line, are read line by line.
+    a record or an array on each line are read line by line. Finding out which it is takes a pass over
+    the file; :func:`scan_jsonl` does without.
     """
-    by_line = spark.read.option("columnNameOfCorruptRecord", "_not_json").json(path) if schema is None else None
-    if by_line is not None and "_not_json" not in by_line.columns:
-        return _flat_objects(by_line, sep)
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    reader = spark.read.option("mode", "FAILFAST").option("multiLine", not _by_line(spark, path))
     return _flat_objects((reader.schema(schema) if schema else reader).json(path), sep)
 
 

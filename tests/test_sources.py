@@ -58,6 +58,15 @@ def test_csv_booleans_big_numbers_and_nothing(spark, tmp_path):
     assert [tuple(r) for r in frame.collect()] == [(True, 1e20, None, 7), (False, 1.0, None, 8)]
 
 
+def test_csv_rows_of_another_width(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("a,b,c\n1,2,3\n4,5\n")
+    assert [tuple(r) for r in files.scan_csv(spark, str(path)).collect()] == [(1, 2, 3), (4, 5, None)]
+    path.write_text("a,b,c\n1,2,3\n4,5,6,7\n")
+    with pytest.raises(Exception, match="more cells than columns: 4,5,6,7"):
+        files.scan_csv(spark, str(path)).collect()
+
+
 def test_cleaning_in_steps(products):
     clean = filling.clean_texts(rename_spaces(products))
     typed = clean.withColumn("rating", F.col("rating").try_cast("double"))
@@ -93,6 +102,15 @@ def test_json_layouts(spark, tmp_path, layout):
     assert frame.columns == ["a", "b_c_d", "b_l"]
     assert frame.count() == (1 if layout == "one object" else 2)
     assert frame.orderBy("a").first()["b_c_d"] == "x"
+    typed = files.scan_json(spark, str(path), "a int, b struct<c: struct<d: string>>")
+    assert sorted(tuple(r) for r in typed.collect()) == [(1, "x"), (2, "y")][: frame.count()]
+
+
+def test_broken_json_lines_are_no_document(spark, tmp_path):
+    path = tmp_path / "x.json"
+    path.write_text('\n{"a": 1}\n{"a": 2\n{"a": 3}\n')
+    with pytest.raises(ValueError, match="some lines are not JSON"):
+        files.scan_json(spark, str(path))
 
 
 def test_jsonl_stops_at_a_bad_line(spark, tmp_path):
