@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from plumbline.operators.columns import quoted, stack
+from plumbline.operators.columns import col, quoted, stack
 from plumbline.sources.files import scan_csv
 
 # What to do when the table is there already, and Spark's word for it.
@@ -64,6 +65,21 @@ def write_table(
     (writer.option("path", path) if path else writer).saveAsTable(_full_name(table, schema))
 
 
+def with_row_numbers(df: DataFrame, name: str = "index") -> DataFrame:
+    """Number the rows of a frame read from files, from 0 in file order, without sorting them.
+
+    Rows of a file split stay together, so it is enough to count each split once and start its numbers
+    where the splits before it end. There is a row per split to add up and to broadcast.
+    """
+    split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    placed = df.select("*", *split, F.monotonically_increasing_id().alias("_at"))
+    splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_file", "_start")) - F.col("_rows")
+    starts = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
+    numbered = placed.join(F.broadcast(starts), ["_file", "_start"])
+    return numbered.select((F.col("_at") + F.col("_shift")).alias(name), *[col(n) for n in df.columns])
+
+
 def ingest_csv(
     spark: SparkSession,
     csv_path: str,
@@ -72,6 +88,8 @@ def ingest_csv(
     schema: str | None = None,
     path: str | None = None,
     column_types: str | None = None,
+    index: bool = False,
 ) -> None:
-    """A CSV file into a table."""
-    write_table(scan_csv(spark, csv_path, column_types), table, if_exists, schema, path)
+    """A CSV file into a table, if wanted with the row numbers as a first column ``index``."""
+    rows = scan_csv(spark, csv_path, column_types)
+    write_table(with_row_numbers(rows) if index else rows, table, if_exists, schema, path)

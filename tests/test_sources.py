@@ -141,6 +141,23 @@ def test_tables(spark, tmp_path):
         tables.write_table(frame, "t", "maybe")
 
 
+def test_ingest_with_row_numbers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(3):
+        (folder / f"{i}.csv").write_text("a,b\n" + "".join(f"{i * 1000 + k},{'x' * 50}\n" for k in range(1000)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+        name = f"numbered_{uuid.uuid4().hex}"
+        tables.ingest_csv(spark, str(folder), name, path=str(tmp_path / "t"), index=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    rows = tables.read_table(spark, name).select("index", "a").collect()
+    assert sorted((r["index"], r["a"]) for r in rows) == [(i, i) for i in range(3000)]
+
+
 def test_report_round_trip(spark, tmp_path):
     frame = spark.sql(
         "select 1 as n, double('NaN') as x, timestamp_ntz'2024-01-02 03:04:05' as a, timestamp_ntz'2024-01-02 03:04:05.5' as b,"
