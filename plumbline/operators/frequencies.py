@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import percent
@@ -69,18 +69,18 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
     """``column, rank, value, count, percentage`` of the k most frequent values, ties by value."""
     total = row_total(df)
     order = [F.col("n").desc(), F.col("value").asc()]
-    tops = [
-        # At most k rows arrive here, so the unpartitioned window is over a handful of rows.
-        leading(frequency(df, name), order, k).select(
-            F.lit(name).alias("column"),
-            F.row_number().over(Window.orderBy(*order)).alias("rank"),
-            _shown(df, name).alias("value"),
-            F.col("n").alias("count"),
-            percent(F.col("n"), total).alias("percentage"),
-        )
-        for name in pick(df, columns)
-    ]
-    return stack(tops)
+    tops = []
+    for name in pick(df, columns):
+        few = leading(frequency(df, name), order, k)
+        ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value", _shown(df, name).alias("shown"))))
+        tops.append(few.agg(ranked.alias("top")).select(F.lit(name).alias("column"), F.posexplode("top").alias("at", "top")))
+    return stack([top.select("column", "at", "top.shown", "top.less") for top in tops]).select(
+        "column",
+        (F.col("at") + 1).alias("rank"),
+        F.col("shown").alias("value"),
+        (-F.col("less")).alias("count"),
+        percent(-F.col("less"), total).alias("percentage"),
+    )
 
 
 def smallest_values(df: DataFrame, name: str, k: int) -> DataFrame:
