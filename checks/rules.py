@@ -1,7 +1,6 @@
 """Rule validation queries."""
 
 from checks.registry import GAPPY, derived, derived_sql, gappy_orders, query, table
-
 from plumbline.operators import record_schema, rules
 from plumbline.operators.sentences import sentence_rules
 from plumbline.plans.validation import validate_table
@@ -161,7 +160,6 @@ rule_query(
     ],
 )
 
-_EXPECTED = "round(900 + p_partkey / 10, 2)"
 EXPRESSION_RULES = rule_query(
     "rule_expr_equal",
     _given("part"),
