@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from plumbline.functions.text import clean_text
 from plumbline.operators.columns import FLOATING, INTEGRAL, col, numeric_columns, of_kind, pick, text_columns, type_of, value
 from plumbline.operators.frequencies import frequency, leading
+from plumbline.operators.measures import null_profile
 from plumbline.operators.quantiles import quantile_values
 
 UNKNOWN = "Unknown"
@@ -25,11 +26,9 @@ def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
 
 
 def _with_gaps(df: DataFrame, names: Sequence[str]) -> list[str]:
-    """The numeric columns that miss a value somewhere; one aggregate finds out."""
-    if not names:
-        return []
-    row = df.agg(*[F.count_if(value(df, n).isNull()).alias(f"gaps{i}") for i, n in enumerate(names)]).first()
-    return [n for i, n in enumerate(names) if row[f"gaps{i}"]]
+    """Those of the columns that miss a value somewhere."""
+    gaps = null_profile(df, names).where(F.col("null_count") > 0).collect()
+    return [row["column"] for row in gaps]
 
 
 def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

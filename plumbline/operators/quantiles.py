@@ -42,15 +42,16 @@ class _Range:
 
 
 def _extent(df: DataFrame, names: list[str]) -> dict[str, _Range]:
-    aggregates = []
-    for i, name in enumerate(names):
+    """The full range of every column that has values."""
+    structs = []
+    for name in names:
         x = value(df, name).cast("double")
-        aggregates += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}")]
-    row = df.agg(*aggregates).first()
+        structs.append(F.struct(F.lit(name), F.min(x), F.max(x), F.count(x)))
+    found = one_row_each(df, structs, "column string, low double, high double, rows bigint", 16)
     return {
-        name: _Range(name, row[f"low{i}"], row[f"high{i}"], 0, row[f"n{i}"])
-        for i, name in enumerate(names)
-        if row[f"n{i}"]
+        row["column"]: _Range(row["column"], row["low"], row["high"], 0, row["rows"])
+        for row in found.collect()
+        if row["rows"]
     }
 
 
