@@ -88,16 +88,18 @@ def smallest_values(df: DataFrame, name: str, k: int) -> DataFrame:
 
     For text the values are not all grouped, which would ship every different text. They are dealt
     into 8k groups by hash, and the least of each group compared: the k-th of those is no less than
-    the k-th smallest value, so only values up to it take part. With fewer than k groups filled there
-    is no such limit, and no need of one.
+    the k-th smallest value, so only values up to it take part. With fewer than k groups filled all
+    do. The limit is a plain comparison, which a scan can use to skip row groups.
     """
     order = [F.col("value").asc()]
     if not isinstance(type_of(df, name), TEXT):
         return leading(frequency(df, name), order, k)
     values = df.select(value(df, name).alias("value")).where("value is not null")
-    least = values.groupBy(F.pmod(F.xxhash64("value"), F.lit(8 * k))).agg(F.min("value").alias("least"))
-    limit = least.agg(F.get(F.array_sort(F.collect_list("least")), F.lit(k - 1)).alias("limit")).scalar()
-    few = values.where(F.col("value") <= F.coalesce(limit, F.col("value")))
+    dealt = values.groupBy(F.pmod(F.xxhash64("value"), F.lit(8 * k)))
+    ends = dealt.agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    kth = F.get(F.array_sort(F.collect_list("least")), F.lit(k - 1))
+    limit = ends.agg(F.coalesce(kth, F.max("most")).alias("limit")).scalar()
+    few = values.where(F.col("value") <= limit)
     return leading(few.groupBy("value").agg(F.count(F.lit(1)).alias("n")), order, k)
 
 

@@ -52,7 +52,6 @@ def test_drift(frame, rows):
 
 
 def test_a_hot_value_is_shuffled_once_per_task(spark, frame):
-    counted = frequencies.kind_counts(frame.where("word like 'hot%'"), "word")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         counted = frequencies.kind_counts(frame.where("word like 'hot%'"), "word")
