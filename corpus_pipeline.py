@@ -1,37 +1,82 @@
-"""A corpus from documents to a training mix. Stages are added as their operators are."""
+"""A corpus from documents to a training mix, in five stages.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last
+return the columns of the documents they were given, whatever else these hold; the last adds the number
+of the copy. Null texts fail the quality rules. Empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, near_duplicates, quality_rules
+from plumbline.llm import decontamination, mixing, near_duplicates, quality_rules, toxicity
+from plumbline.session import stage as staged
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """The text, and all columns of a document as one, so that added columns can't clash with them."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), docs["text"].alias("text"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.apply_rules(docs, keep=docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    return quality_rules.apply_rules(_whole(docs), keep=["document"]).where("kept").select("document.*")
+
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, cut: float = 0.5) -> DataFrame:
+    """Documents that are more likely not toxic. The model is fitted on the labels of the documents given."""
+    scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.scored(_whole(docs), scorer).where(F.col("score") < cut).select("document.*")
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group."""
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one whose id names the group.
+
+    Repeated rows of that id count once. Rows without an id stay only if no row of their group has one.
+    """
     found = near_duplicates.near_duplicates(docs)
-    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id"))
-    return docs.join(keep, "doc_id", "left_semi")
+    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("rows")).withColumnRenamed("id", "chosen")
+    chosen = staged(chosen, "chosen")
+    repeated = chosen.where("rows > 1 AND chosen IS NOT NULL")
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, docs["doc_id"] == repeated["chosen"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, docs["doc_id"] == repeated["chosen"], "left_anti").unionByName(again)
+
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    leaks = staged(found.where("n_hit > 0").select(F.col("id").alias("leak")).distinct(), "leaks")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, with the number of the copy."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality rules", quality), ("near copies", near_copies), ("mix", mix)]
+STAGES = [
+    ("quality rules", quality),
+    ("toxicity", clean),
+    ("near duplicates", one_of_each),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+]
+
+#: SimHash and the toxicity model are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; what each keeps is written to the shared folder for the next."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = staged(function(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

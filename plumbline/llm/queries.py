@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, near_duplicates, quality_classifier, quality_rules
+from plumbline.llm import (
+    decontamination,
+    language_id,
+    language_model,
+    license_scan,
+    mixing,
+    near_duplicates,
+    quality_classifier,
+    quality_rules,
+    tool_calls,
+    toxicity,
+)
+from plumbline.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +41,111 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The given conversations have no tool calls. A user's turn is read as a call that refers to the user's turn
+# before it, the assistant's answer to it as its result.
+CALL_SCHEMAS = {
+    "ask": {
+        "properties": {"query": {"type": "string", "minLength": 20, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0, "maximum": 1}},
+        "required": ["query", "turn"],
+    },
+    "follow_up": {
+        "properties": {"query": {"type": "string", "minLength": 20, "maxLength": 250}, "turn": {"type": "integer", "minimum": 2}},
+        "required": ["query", "turn"],
+    },
+}
+
+CALLS_SQL = """
+WITH calls AS (
+    SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, CASE WHEN turn < 2 THEN 'ask' ELSE 'follow_up' END AS name,
+           CASE WHEN turn < 2 THEN []::VARCHAR[] ELSE [conv_id || ':' || (turn - 2)] END AS depends_on
+    FROM conversations WHERE role = 'user'),
+results AS (
+    SELECT conv_id || ':' || (turn - 1) AS of_call, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+checked AS (
+    SELECT *, list_filter([
+        CASE WHEN length(text) < 20 THEN 'query: minLength' END,
+        CASE WHEN length(text) > CASE name WHEN 'ask' THEN 400 ELSE 250 END THEN 'query: maxLength' END,
+        CASE WHEN turn >= 2 AND depends_on[1] NOT IN (SELECT call_id FROM calls) THEN 'unknown call: ' || depends_on[1] END], lambda e: e IS NOT NULL) AS errors
+    FROM calls)
+SELECT CASE WHEN call_id IS NOT NULL THEN conv_id END AS conv_id, coalesce(call_id, of_call) AS call_id, name, turn AS major,
+       CASE WHEN call_id IS NOT NULL THEN 0::BIGINT END AS minor,
+       CASE WHEN call_id IS NULL THEN 'orphan' WHEN of_call IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+       coalesce(n_results, 0) AS n_results, CASE WHEN call_id IS NOT NULL THEN len(errors) = 0 END AS valid,
+       array_to_string(errors, '; ') AS errors,
+       CAST(to_json({
+           'arguments': CASE WHEN call_id IS NOT NULL THEN {'query': text, 'turn': turn} END,
+           'depends_on': coalesce(depends_on, []::VARCHAR[]), 'id': coalesce(call_id, of_call), 'name': name, 'result': content}) AS VARCHAR) AS json
+FROM checked FULL OUTER JOIN results ON call_id = of_call
+"""
+
+
+@register(CALLS_SQL)
+def op1_tool_calls(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations")
+    first = F.col("turn") < 2
+    calls = turns.where("role = 'user'").select(
+        F.col("conv_id").alias("conversation"),
+        F.concat_ws(":", "conv_id", "turn").alias("call_id"),
+        F.col("turn").alias("position"),
+        F.when(first, "ask").otherwise("follow_up").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("query"))).alias("arguments"),
+        F.when(first, F.array().cast("array<string>")).otherwise(F.array(F.concat_ws(":", "conv_id", F.col("turn") - 2))).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    linked = tool_calls.link(calls, results, CALL_SCHEMAS)
+    return linked.withColumn("errors", F.array_join("errors", "; ")).withColumnRenamed("conversation", "conv_id")
+
+
 @register()
 def op2_quality_classifier(spark, sf_dir):
     scored = quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.withColumnRenamed("id", "doc_id")
 
 
+# The words of a document, as windows of every length that an item's window has, looked up among the items'.
+LEAKS_SQL = r"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS words, least(10, len(w)) AS n
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, lengths),
+hits AS (
+    SELECT doc_id, item_id, i, p.n FROM (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS words FROM places) p
+    JOIN windows USING (words)),
+n_hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@register()
+def op3_license_scan(spark, sf_dir):
+    return license_scan.scan(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register(LEAKS_SQL)
+def op4_decontamination(spark, sf_dir):
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 MIXING_SQL = f"""
 WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -62,6 +173,21 @@ def op5_mixing(spark, sf_dir):
     return drawn.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@register()
+def op6_language_model(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    scored = language_model.score(docs, remainder(docs["doc_id"], 7) != 2)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@register()
+def op7_toxicity(spark, sf_dir):
+    scored = toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def _threshold_sql() -> str:
     return " AND ".join(f"{measure} {comparison} {threshold}" for _, measure, comparison, threshold in quality_rules.RULES)
 
@@ -69,7 +195,8 @@ def _threshold_sql() -> str:
 RULES_SQL = rf"""
 WITH split AS (
     SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w,
-           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS lines
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS lines
     FROM documents),
 windows AS (
     SELECT doc_id, i, w[i:i + 7] AS words_8 FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM split)),
@@ -82,7 +209,8 @@ counted AS (
            CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
            CAST(length(text) - length(replace(text, '!', '')) AS BIGINT) AS n_exclamations,
            CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-           len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[ 	-]*$'))) AS n_ellipsis_lines,
+           len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[ 	-
+]*$'))) AS n_ellipsis_lines,
            len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(quality_rules.STOP_WORDS)))}))) AS n_stop_words,
            len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_adjacent_repeats,
            coalesce(n_repeat_words, 0) AS n_repeat_words
@@ -107,6 +235,11 @@ def op8_quality_rules(spark, sf_dir):
     return applied.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register()
+def op9_language_id(spark, sf_dir):
+    return language_id.identify(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @register()
 def op10_near_duplicates(spark, sf_dir):
     found = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
