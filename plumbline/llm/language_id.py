@@ -213,11 +213,9 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
 
 def identified(docs: DataFrame, identifier: Identifier, text: str = "text") -> DataFrame:
     """All columns of the table, ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)
-
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict(texts)
+        names, scores = identifier.predict(texts)
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     found = docs.withColumn("identified", of(docs[text]))

@@ -107,6 +107,7 @@ def measures(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
         _per(F.col("n_dup_lines"), F.col("n_lines")).alias("duplicate_line_ratio"),
         _per(F.col("n_ellipsis_lines"), F.col("n_lines")).alias("ellipsis_line_ratio"),
         _per(F.col("n_adjacent_repeats"), F.col("n_words")).alias("adjacent_repeat_ratio"),
+        F.monotonically_increasing_id().alias("row_no"),
     )
 
 
@@ -133,4 +134,7 @@ def base_failed() -> Column:
 def apply_rules(df: DataFrame, text: str = "text", keep: list[str] | None = None, rules=RULES) -> DataFrame:
     """The ``keep`` columns, all measures, the failed rules, ``base_failed`` and ``kept``."""
     measured = measures(df, text, keep)
-    return measured.withColumns({"failed_rules": failed_rules(rules), "base_failed": base_failed(), "kept": ~base_failed() & verdict(rules)})
+    # A row number is not deterministic, so a filter on ``kept`` stays above the measures. Pushed down, it
+    # would hold each measure's whole definition, and that of the arrays under it, many times over.
+    kept = (F.col("row_no") >= 0) & ~base_failed() & verdict(rules)
+    return measured.withColumns({"failed_rules": failed_rules(rules), "base_failed": base_failed(), "kept": kept}).drop("row_no")
