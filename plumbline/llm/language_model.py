@@ -7,7 +7,8 @@ which is also the context of the first word; so a context's count is its count a
 
 Counts cover every training document. Texts are dealt into chunks by a hash. A chunk asks once for each
 different n-gram in it, by a 64-bit key, however often it has it: it sends sorted keys with its own
-counts to key ranges, which add them up and send the totals back in the same order. So a word or pair
+counts to key ranges, which add them up and send the totals back in the same order, with the numbers of
+tokens and types. So a word or pair
 that every text has costs a key per chunk, and no text meets another. The texts are shuffled once: the
 questions and the scoring read the same exchange.
 
@@ -18,6 +19,7 @@ uniform distribution alone remains. Other columns are not read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, blank_words, remainder, shipped
+from plumbline.llm.common import shipped
 
 shipped(__name__)
 
 #: Doublings of a context's frequency with weights of their own; 0 is for contexts never seen.
 BUCKETS = 48
-#: Multiplier that sets a pair's key apart from its words'.
-PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multiplier for mixing two words' keys to a pair's.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of a pair's key. Words have all 64, as their counts must be right; two of 10 million million pairs
+#: sharing a key would only blur an estimate.
+PAIR_BITS = 48
+#: Documents whose n-grams a task takes up at once while counting the sample's.
+AT_ONCE = 500
 
 
 class Grams:
@@ -42,7 +49,7 @@ class Grams:
 
     def __init__(self, texts):
         places: dict[bytes, int] = {b"": 0}
-        at: list[int] = []
+        at = array("q")
         lengths = []
         for text in texts:
             # for bytes, lower() and split() know ASCII only
@@ -51,7 +58,7 @@ class Grams:
             at.append(0)
             lengths.append(len(words) + 1)
         #: Tokens in order; each text ends with word 0, the end.
-        self.tokens = np.array(at, dtype=np.int64)
+        self.tokens = np.frombuffer(at, dtype=np.int64) if len(at) else np.zeros(0, dtype=np.int64)
         self.lengths = np.array(lengths, dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1].astype(np.int64)
         digest = xxhash.xxh64_intdigest
@@ -64,27 +71,42 @@ class Grams:
         pairs, self.pair_of = np.unique(before * len(places) + self.tokens, return_inverse=True)
         with np.errstate(over="ignore"):
             first, second = self.word_keys[pairs // len(places)], self.word_keys[pairs % len(places)]
-            mixed = (first * PAIR) ^ (first >> np.uint64(29))
-            self.pair_keys = (mixed + second) * PAIR ^ (second >> np.uint64(31))
-        self.n_words = len(places)
+            mixed = (first * MIX) ^ (first >> np.uint64(29))
+            mixed = (mixed + second) * MIX
+            self.pair_keys = (mixed ^ (mixed >> np.uint64(32))) * MIX >> np.uint64(64 - PAIR_BITS)
 
-    def keys(self) -> np.ndarray:
-        return np.concatenate([self.word_keys, self.pair_keys])
-
-    def counts(self, weight: np.ndarray) -> np.ndarray:
-        """Occurrences of each of ``keys()``, by the weight of the text they are in."""
+    def counts(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of the different words and pairs, by the weight of the text they are in."""
         per = np.repeat(weight, self.lengths)
-        words = np.bincount(self.tokens, weights=per, minlength=self.n_words)
-        return np.concatenate([words, np.bincount(self.pair_of, weights=per, minlength=len(self.pair_keys))]).astype(np.int64)
+        words = np.bincount(self.tokens, weights=per, minlength=len(self.word_keys))
+        return words.astype(np.int64), np.bincount(self.pair_of, weights=per, minlength=len(self.pair_keys)).astype(np.int64)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
     return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).clip(0, BUCKETS - 1).astype(np.int64)
 
 
-def parts(pair: np.ndarray, context: np.ndarray, word: np.ndarray, tokens: int, types: int) -> np.ndarray:
-    """The three estimates for each position."""
-    return np.stack([pair / np.maximum(context, 1), word / max(tokens, 1), np.full(len(word), 1.0 / (types + 1))], axis=1)
+def packed(counts: np.ndarray) -> bytes:
+    """A byte for each count; those of 255 and more follow in full."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data, dtype=np.uint8, count=n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, dtype=np.int64, offset=n) if len(data) > n else 0
+    return counts
+
+
+def narrow(keys: np.ndarray) -> bytes:
+    """Pairs' keys without their empty bytes."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, : PAIR_BITS // 8].tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    some = np.frombuffer(data, dtype=np.uint8).reshape(-1, PAIR_BITS // 8)
+    keys = np.zeros((len(some), 8), dtype=np.uint8)
+    keys[:, : PAIR_BITS // 8] = some
+    return keys.view(np.uint64).ravel()
 
 
 def learn(estimates: np.ndarray, buckets: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -113,104 +135,123 @@ def learn(estimates: np.ndarray, buckets: np.ndarray, rounds: int = 40) -> np.nd
     return np.array(out)
 
 
-def sizes(training: DataFrame) -> tuple[int, int]:
-    """Tokens and different tokens of the training texts, ends included."""
-    token = F.explode(blank_words(training["text"])).alias("token")
-    words = training.select(token)
-    # lower() knows other letters too, but is the fast way for plain tokens
-    plain = F.col("token").rlike(r"^[\x00-\x7F]*$")
-    words = words.select(F.when(plain, F.lower("token")).otherwise(ascii_lower(F.col("token"))).alias("token"))
-    found = words.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n").alias("tokens"), F.count("*").alias("types")).first()
-    texts = training.count()
-    return (found["tokens"] or 0) + texts, found["types"] + (texts > 0)
-
-
-def weights(training: DataFrame, tokens: int, types: int, sample_docs: int) -> np.ndarray:
+def weights(training: DataFrame, sample_docs: int) -> np.ndarray:
     """Mixture weights from the deleted counts of about ``sample_docs`` training documents.
 
-    The sample's n-grams, bounded with it, are broadcast; every task counts them in its own texts.
+    The sample's n-grams, bounded with it, are broadcast; every task counts them in its own texts. The
+    uniform estimate takes what the others can't explain, whatever its size, so here it is one in all tokens.
     """
     spark = training.sparkSession
     total = training.count()
     draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
     texts = [r["text"] for r in training.where(draw * total < sample_docs).select("text").collect()]
     grams = Grams(texts)
-    keys, back = np.unique(grams.keys(), return_inverse=True)
-    shared = spark.sparkContext.broadcast(keys)
+    word_keys, pair_keys = (spark.sparkContext.broadcast(np.sort(k)) for k in (grams.word_keys, grams.pair_keys))
+
+    def hits(own: np.ndarray, n: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(sought):
+            return own[:0].astype(np.int64), n[:0]
+        place = np.minimum(np.searchsorted(sought, own), len(sought) - 1)
+        hit = sought[place] == own
+        return place[hit], n[hit]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own = Grams(batch["text"])
-            asked = own.keys()
-            place = np.minimum(np.searchsorted(shared.value, asked), len(shared.value) - 1)
-            hit = shared.value[place] == asked
-            yield pd.DataFrame({"place": place[hit], "n": own.counts(np.ones(len(own.lengths)))[hit]})
-
-    found = training.select("text").mapInPandas(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    totals = np.zeros(len(keys), dtype=np.int64)
-    totals[found["place"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.int64)
-    totals = totals[back]
-    word, pair = totals[: grams.n_words], totals[grams.n_words :]
+            for at in range(0, len(batch), AT_ONCE):
+                own = Grams(batch["text"].iloc[at : at + AT_ONCE])
+                words, pairs = own.counts(np.ones(len(own.lengths)))
+                found = hits(own.word_keys, words, word_keys.value), hits(own.pair_keys, pairs, pair_keys.value)
+                yield pd.DataFrame({"order": 0, "place": [0], "n": [len(own.tokens)]})
+                for order, (place, n) in enumerate(found, 1):
+                    yield pd.DataFrame({"order": order, "place": place, "n": n})
+
+    schema = "order int, place long, n long"
+    found = training.select("text").mapInPandas(count, schema).groupBy("order", "place").agg(F.sum("n").alias("n")).toPandas()
+
+    def totals(order: int, keys: np.ndarray) -> np.ndarray:
+        some, out = found[found["order"] == order], np.zeros(len(keys), dtype=np.int64)
+        out[some["place"].to_numpy(dtype=np.int64)] = some["n"].to_numpy(dtype=np.int64)
+        return out[np.searchsorted(np.sort(keys), keys)]
+
+    tokens = int(found.loc[found["order"] == 0, "n"].sum())
+    word, pair = totals(1, grams.word_keys), totals(2, grams.pair_keys)
     document = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
 
     def deleted(of: np.ndarray, total: np.ndarray) -> np.ndarray:
         """At each position, the count of what stands there in all documents but this one."""
-        both, inverse, n = np.unique(document * (len(total) + 1) + of, return_inverse=True, return_counts=True)
+        _, inverse, n = np.unique(document * (len(total) + 1) + of, return_inverse=True, return_counts=True)
         return np.maximum(total[of] - n[inverse], 0)
 
     context = deleted(grams.contexts, word)
-    estimates = parts(np.minimum(deleted(grams.pair_of, pair), context), context, deleted(grams.tokens, word), tokens, types)
-    return learn(estimates, bucket_of(context))
+    pairs = np.minimum(deleted(grams.pair_of, pair), context) / np.maximum(context, 1)
+    words = deleted(grams.tokens, word) / max(tokens, 1)
+    return learn(np.stack([pairs, words, np.full(len(words), 1.0 / max(tokens, 1))], axis=1), bucket_of(context))
 
 
-def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", sample_docs: int = 1500, chunks: int | None = None) -> DataFrame:
+def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", sample_docs: int = 800, chunks: int | None = None) -> DataFrame:
     """``id, training, n_tokens, n_known, train_tokens, base_score, score`` for every text.
 
     ``training`` is a column that says which rows teach. ``chunks``: by default two for each task that
     reads the table, so that a chunk is as large as half a file split; 64 at least.
     """
     rows = df.select(df[id].alias("id"), F.coalesce(df[text], F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    taught = rows.where("training").select("id", "text")
-    tokens, types = sizes(taught)
-    mixture = weights(taught, tokens, types, sample_docs) if tokens else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
+    mixture = weights(rows.where("training").select("id", "text"), sample_docs)
     if chunks is None:
         chunks = max(64, 2 * (df.select(F.spark_partition_id().alias("p")).distinct().count()))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    edges = np.array([(b << 64) // chunks for b in range(1, chunks)], dtype=np.uint64)
+
+    def cuts(keys: np.ndarray, bits: int) -> list[tuple[int, int]]:
+        """Where each key range begins and ends among sorted keys."""
+        edges = np.array([(b << bits) // chunks for b in range(1, chunks)], dtype=np.uint64)
+        at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        return list(zip(at, at[1:]))
 
     def ask(table: pa.Table) -> pa.Table:
         """A row for each key range: the chunk's different keys there, in order, and its training counts."""
         grams = Grams(table["text"].to_pylist())
-        keys = grams.keys()
-        n = grams.counts(table["training"].to_numpy(zero_copy_only=False).astype(float))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        cuts = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+        columns = []
+        for keys, n, bits in zip((grams.word_keys, grams.pair_keys), grams.counts(table["training"].to_numpy().astype(float)), (64, PAIR_BITS)):
+            order = np.argsort(keys, kind="stable")
+            keys, n = keys[order], n[order]
+            send = np.ndarray.tobytes if bits == 64 else narrow
+            columns += [[send(keys[a:b]) for a, b in cuts(keys, bits)], [packed(n[a:b]) for a, b in cuts(keys, bits)]]
         return pa.table({
             "chunk": pa.array([table["chunk"][0].as_py()] * chunks, pa.int32()),
             "part": pa.array(range(chunks), pa.int32()),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-            "n": pa.array([n[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+            **{name: pa.array(c, pa.binary()) for name, c in zip(("words", "n_words", "pairs", "n_pairs"), columns)},
         })
 
     def total(table: pa.Table) -> pa.Table:
-        """For each chunk, the totals of its keys, in its order."""
-        keys = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table["keys"]]
-        n = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in table["n"]])
-        _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(inverse, weights=n).astype(np.int64)[inverse]
-        cuts = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        return pa.table({"chunk": table["chunk"], "part": table["part"], "totals": pa.array([sums[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
+        """For each chunk, the totals of its keys in its order; for all, the range's tokens and types."""
+        out, sizes = {"chunk": table["chunk"], "part": table["part"]}, []
+        for name, read in (("words", lambda x: np.frombuffer(x, dtype=np.uint64)), ("pairs", widened)):
+            keys = [read(x.as_py()) for x in table[name]]
+            n = np.concatenate([unpacked(x.as_py(), len(k)) for x, k in zip(table[f"n_{name}"], keys)])
+            _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = np.bincount(inverse, weights=n).astype(np.int64)
+            sizes += [int(sums.sum()), int((sums > 0).sum())]
+            ends = np.cumsum([len(k) for k in keys])
+            out[name] = pa.array([packed(sums[inverse[e - len(k) : e]]) for k, e in zip(keys, ends)], pa.binary())
+        rows = table.num_rows
+        return pa.table(out | {"tokens": pa.array([sizes[0]] * rows, pa.int64()), "types": pa.array([sizes[1]] * rows, pa.int64())})
 
     def finish(texts: pa.Table, totals: pa.Table) -> pa.Table:
         grams = Grams(texts["text"].to_pylist())
-        by_part = totals.sort_by("part")
-        counts = np.empty(grams.n_words + len(grams.pair_keys), dtype=np.int64)
-        counts[np.argsort(grams.keys(), kind="stable")] = np.concatenate([np.frombuffer(x.as_py(), dtype=np.int64) for x in by_part["totals"]])
-        word, pair = counts[: grams.n_words], counts[grams.n_words :]
+        totals = totals.sort_by("part")
+        tokens, types = sum(totals["tokens"].to_pylist()), sum(totals["types"].to_pylist())
+        counts = []
+        for name, keys, bits in (("words", grams.word_keys, 64), ("pairs", grams.pair_keys, PAIR_BITS)):
+            order = np.argsort(keys, kind="stable")
+            found = np.empty(len(keys), dtype=np.int64)
+            for data, (a, b) in zip(totals[name], cuts(keys[order], bits)):
+                found[order[a:b]] = unpacked(data.as_py(), b - a)
+            counts.append(found)
+        word, pair = counts
         own, context = word[grams.tokens], word[grams.contexts]
-        estimates = parts(pair[grams.pair_of], context, own, tokens, types)
-        model = np.log10((estimates * mixture[bucket_of(context)]).sum(axis=1))
+        bucket = bucket_of(context)
+        model = mixture[bucket, 0] * (pair[grams.pair_of] / np.maximum(context, 1))
+        model += mixture[bucket, 1] * (own / max(tokens, 1))
+        model += mixture[bucket, 2] / (types + 1)
         base = np.log10((own + 1) / (tokens + types + 1))
         each = lambda x: np.add.reduceat(x, grams.starts)  # noqa: E731  no text is without a token
         return pa.table({
@@ -220,12 +261,12 @@ def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", sampl
             "n_known": pa.array(each((own > 0).astype(np.int64))),
             "train_tokens": pa.array(np.full(len(grams.lengths), tokens, dtype=np.int64)),
             "base_score": pa.array(each(base)),
-            "score": pa.array(each(model)),
+            "score": pa.array(each(np.log10(model))),
         })
 
     kind = df.schema[id].dataType.simpleString()
-    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, part int, keys binary, n binary")
-    totals = asked.groupBy("part").applyInArrow(total, "chunk int, part int, totals binary")
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, part int, words binary, n_words binary, pairs binary, n_pairs binary")
+    totals = asked.groupBy("part").applyInArrow(total, "chunk int, part int, words binary, pairs binary, tokens long, types long")
     return (
         dealt.groupBy("chunk")
         .cogroup(totals.groupBy("chunk"))
