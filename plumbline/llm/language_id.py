@@ -174,6 +174,8 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for text, lang in zip(batch["text"], batch["lang"]):
             counts.update((lang, w) for w in runs(text))
+        if not counts:
+            continue
         yield pd.DataFrame({"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())})
 
 

@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from plumbline.llm.common import shipped
 from plumbline.session import stage
@@ -56,7 +57,7 @@ def fingerprint_of(text: str | None, shingle: int = SHINGLE, seed: int = 42) ->
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())  # a type, not its name: a name can be read in a session only
 def fingerprint(text: pd.Series) -> pd.Series:
     return text.map(fingerprint_of).astype("int64")
 
