@@ -30,10 +30,9 @@ def quality_metrics_query(spark, sf_dir):
     return metrics.withColumn("samples", F.array_join("samples", "|"))
 
 
-def _issues_sql(texts, numbers, others, source, whole):
+def _issues_sql(texts, numbers, others, source):
     def one(c):
-        values = f"SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL"
-        values += "" if whole else " ORDER BY v LIMIT 10"
+        values = f"SELECT {c} AS v FROM {source} WHERE {c} IS NOT NULL"
         # The signs of a column that is not text stay at zero.
         signs = (
             f"""SELECT count(*) AS seen, count(*) FILTER (regexp_matches(v, '^-?\\d*\\.?\\d+$')) AS number_like,
@@ -62,17 +61,12 @@ def _issues_sql(texts, numbers, others, source, whole):
       FROM p WHERE NOT is_number AND different > 0 AND kinds * 100.0 / (n - nulls) > 90"""
 
 
-@query("quality_issues", _issues_sql(["status", "priority", "code"], ["o_orderkey", "price"], ["o_orderdate"], MESSY, False))
+@query("quality_issues", _issues_sql(["status", "priority", "code"], ["o_orderkey", "price"], ["o_orderdate"], MESSY))
 def quality_issues(spark, sf_dir):
     return issues.quality_issues(messy_orders(spark, sf_dir))
 
 
-@query("quality_issues_whole", _issues_sql(["status", "priority", "code"], ["o_orderkey", "price"], ["o_orderdate"], MESSY, True))
-def quality_issues_whole(spark, sf_dir):
-    return issues.quality_issues(messy_orders(spark, sf_dir), whole=True)
-
-
-@query("quality_issues_documents", _issues_sql(["text", "lang", "source"], ["doc_id", "n_chars"], [], "documents", False))
+@query("quality_issues_documents", _issues_sql(["text", "lang", "source"], ["doc_id", "n_chars"], [], "documents"))
 def quality_issues_documents(spark, sf_dir):
     return issues.quality_issues(table(spark, sf_dir, "documents"))
 

@@ -120,11 +120,6 @@ def ingest_table(spark, sf_dir):
     return tables.read_table(spark, name)
 
 
-@query("file_inventory")
-def file_inventory(spark, sf_dir):
-    return files.file_inventory(spark, sf_dir)
-
-
 @query(
     "write_report",
     each(
@@ -155,7 +150,8 @@ def profile_store(spark, sf_dir):
     path, orders = scratch_path(spark, "profiles"), gappy_orders(spark, sf_dir)
     summary = measures.table_shape(orders).select("rows", "columns")
     profile = measures.null_profile(orders).select("column", "total_rows", "null_count")
-    for month, rows in ((2, profile), (1, profile.limit(1))):
+    older = measures.null_profile(table(spark, sf_dir, "customer")).select("column", "total_rows", "null_count")
+    for month, rows in ((2, profile), (1, older)):
         history.store_profile(summary, rows, path, "orders", datetime(2024, month, 1, tzinfo=timezone.utc))
     history.store_profile(summary, profile, path, "others", datetime(2024, 3, 1, tzinfo=timezone.utc))
     latest = history.latest_profile(spark, path, "orders")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 # What counts as a number-like value, a special character and a blank text.
 NUMBER_LIKE = r"^-?\d*\.?\d+$"
 SPECIAL_CHARACTER = r"[^a-zA-Z0-9\s]"
-BLANK = r"^\s*$"
+BLANK = r"(?U)^\s*$"
 
 
 def clean_text(c: Column) -> Column:
     """Lower case, outer blanks off, inner runs of blanks to one."""
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
 def is_number_like(c: Column) -> Column:
@@ -34,10 +34,6 @@ def is_all_lower(c: Column) -> Column:
     return (c == F.lower(c)) & (c != F.upper(c))
 
 
-def is_blank(c: Column) -> Column:
-    return c.rlike(BLANK)
-
-
 def from_utf8(c: Column) -> Column:
     """Bytes to text; NULL where the bytes are not valid UTF-8."""
     return F.try_validate_utf8(c.cast("string"))

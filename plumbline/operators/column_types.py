@@ -124,7 +124,7 @@ def _detect(df: DataFrame, name: str) -> DataFrame:
     smallest, decimals, earliest = F.lit(None).cast("double"), F.lit(0), F.lit(None).cast("timestamp_ntz")
     if isinstance(kind, TEMPORAL):
         all_times, earliest = F.lit(True), F.min(v.cast("timestamp_ntz"))
-    elif isinstance(kind, (T.BooleanType,) + INTEGRAL + TEXT):
+    elif isinstance(kind, (T.BooleanType,) + TEXT):
         all_words = F.bool_and(F.lower(shown).isin(BOOLEAN_WORDS))
     if isinstance(kind, NUMERIC + TEXT):
         number = v.cast("double") if isinstance(kind, NUMERIC) else F.col("number")

@@ -74,12 +74,14 @@ LONG_TEXT = 64
 def bounded(df: DataFrame, name: str) -> Column:
     """A column's values as grouping keys of bounded width.
 
-    Texts over 64 bytes are replaced by their SHA-256 digest, so counting how many differ ships a
+    Texts over 64 bytes, and arrays and structs whose JSON is longer, are replaced by their SHA-256 digest, so counting how many differ ships a
     short key for each instead of the whole text.
     """
     c = value(df, name)
     if isinstance(type_of(df, name), T.BinaryType):
         c = F.hex(c)
+    elif isinstance(type_of(df, name), (T.ArrayType, T.StructType)):
+        c = F.to_json(c)
     elif not isinstance(type_of(df, name), TEXT + (T.MapType, T.VariantType)):
         return c
     return F.when(F.octet_length(c) > LONG_TEXT, F.concat(F.lit("sha2:"), F.sha2(c, 256))).otherwise(c)

@@ -5,27 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import numeric_columns, one_row_each, stack, value
 
 STRONG = 0.7
-PAIRS_AT_ONCE = 6
 SCHEMA = "column1 string, column2 string, correlation double"
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Over the rows where both have a value; NULL (not an error) if either is constant there."""
-    a_too, b_too = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_too) * F.stddev_pop(b_too))
-
-
 def _pairs(df: DataFrame, names: list[str]) -> DataFrame:
-    """Each pair once, in column order."""
-    x = {name: value(df, name).cast("double") for name in names}
-    rows = [F.struct(F.lit(a), F.lit(b), _pearson(x[a], x[b])) for a, b in combinations(names, 2)]
-    return one_row_each(df, rows, SCHEMA, PAIRS_AT_ONCE)
+    """Each pair once, in column order, from one scan however many columns there are.
+
+    A row gives its pairs of values one by one to a grouping by the pair, which has a group per pair in
+    each task before anything moves. NULL (not an error) where either column is constant or empty.
+    """
+    values = df.select(F.array(*[value(df, name).cast("double") for name in names]).alias("values"))
+    left = values.select("values", F.posexplode("values").alias("i", "x")).where("x IS NOT NULL")
+    both = left.select("i", "x", F.posexplode("values").alias("j", "y")).where("j > i AND y IS NOT NULL")
+    pearson = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    found = both.groupBy("i", "j").agg(pearson.alias("correlation"))
+    pairs = [(i, j, names[i], names[j]) for i, j in combinations(range(len(names)), 2)]
+    named = df.sparkSession.createDataFrame(pairs, "i int, j int, column1 string, column2 string")
+    return named.join(F.broadcast(found), ["i", "j"], "left").select("column1", "column2", "correlation")
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

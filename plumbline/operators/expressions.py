@@ -22,14 +22,25 @@ def _modulo(a: Column, b: Column) -> Column:
     return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
 
 
+def _floor(a: Column, b: Column) -> Column:
+    """The quotient rounded down, as a double: from 2^53 on a double is whole by itself."""
+    exact = F.try_divide(a, b).cast("double")
+    return F.when(F.abs(exact) < 2.0**53, F.floor(exact).cast("double")).otherwise(exact)
+
+
+def _power(a: Column, b: Column) -> Column:
+    found = F.pow(a, b)
+    return F.when(F.abs(found) < float("inf"), found)
+
+
 _ARITHMETIC = {
     ast.Add: F.try_add,
     ast.Sub: F.try_subtract,
     ast.Mult: F.try_multiply,
     ast.Div: F.try_divide,
-    ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b)),
+    ast.FloorDiv: _floor,
     ast.Mod: _modulo,
-    ast.Pow: F.pow,
+    ast.Pow: _power,
 }
 _COMPARISON = {
     ast.Eq: lambda a, b: a == b,
@@ -54,7 +65,7 @@ def _column(node: ast.expr, names: Mapping[str, str], read: Callable[[str], Colu
     if isinstance(node, ast.Name) and node.id in names:
         return read(names[node.id])
     if isinstance(node, ast.Constant) and type(node.value) in (int, float):
-        return F.lit(node.value)
+        return F.lit(node.value).cast("bigint" if isinstance(node.value, int) else "double")
     raise ValueError(f"{ast.unparse(node)!r} in {text!r} is neither a column, a number nor arithmetic")
 
 
@@ -85,7 +96,9 @@ def columns_in(text: str, columns: Iterable[str]) -> list[str]:
 
 
 def text_kinds(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
-    """Whether text columns hold flags, numbers, times or neither, tried in this order on all values.
+    """Whether text columns hold flags, numbers, times, some amounts or neither, tried in this order.
+
+    All values must be of a kind, but one that reads as a number (``$5``) makes a column hold amounts.
 
     One aggregate without a shuffle of values; a row per column comes back to choose how to read it.
     """
@@ -97,7 +110,7 @@ def text_kinds(df: DataFrame, columns: Iterable[str]) -> dict[str, str]:
             "numeric": to_double(c).isNotNull(),
             "datetime": parse_time(c).isNotNull(),
         }
-        kind = F.lit("string")
+        kind = F.when(F.bool_or(parse_number(c).isNotNull()), "amount").otherwise("string")
         for word, holds in reversed(tests.items()):
             kind = F.when(F.bool_and(F.when(c.isNotNull(), holds)), word).otherwise(kind)
         structs.append(F.struct(F.lit(name), kind))
@@ -126,9 +139,10 @@ def as_number(
     if is_time(df, name, kinds):
         return epoch_seconds(as_time(df, name, date_format))
     if isinstance(kind, T.BooleanType):
-        return col(name).cast("int")
+        return col(name).cast("bigint")
     if isinstance(kind, NUMERIC):
-        number = value(df, name)
+        # Whole numbers of any width are reckoned in 64 bits.
+        number = value(df, name).cast("bigint") if isinstance(kind, T.IntegralType) else value(df, name)
         return number if decimal_places is None else F.round(number, decimal_places)
     if kinds.get(name) == "boolean":
         return F.when(col(name).isNotNull(), parse_flag(col(name)))

@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
-from plumbline.operators.columns import as_text, numeric_columns, pick, stack, text_columns, type_of
-from plumbline.operators.frequencies import frequency, kind_counts, smallest_values
+from plumbline.operators.columns import numeric_columns, pick, stack, text_columns, value
+from plumbline.operators.frequencies import kind_counts
 
 # Percentages above which an issue is raised.
 MANY_NULLS = 20
 MOST_NULLS = 50
 MANY_DISTINCT = 90
 
-SAMPLE = 10
-
 SIGNS = ("seen", "number_like", "upper", "lower", "special")
 
 
@@ -32,16 +30,15 @@ def _text_signs(shown: Column) -> list[Column]:
     ]
 
 
-def quality_signs(df: DataFrame, columns: Sequence[str] | None = None, whole: bool = False) -> DataFrame:
+def quality_signs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Per column the counts the issues are decided on.
 
-    The text signs look at the ten smallest distinct values, or with ``whole`` at all of them.
+    The text signs look at every row, in an aggregate of their own that moves no text.
     """
     texts, numbers = text_columns(df, columns), numeric_columns(df, columns)
     n = F.col("n")
     parts = []
     for name in pick(df, columns):
-        shown = as_text(type_of(df, name), F.col("value"))
         counts = [
             F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), n)), F.lit(0)).alias("nulls"),
@@ -49,10 +46,8 @@ def quality_signs(df: DataFrame, columns: Sequence[str] | None = None, whole: bo
         ]
         if name not in texts:
             part = kind_counts(df, name).agg(*counts).select("*", *[F.lit(0).cast("long").alias(s) for s in SIGNS])
-        elif whole:
-            part = frequency(df, name).agg(*counts, *_text_signs(shown))
         else:
-            signs = smallest_values(df, name, SAMPLE).agg(F.struct(*_text_signs(shown)).alias("signs")).scalar()
+            signs = df.agg(F.struct(*_text_signs(value(df, name))).alias("signs")).scalar()
             part = kind_counts(df, name).agg(*counts).withColumn("signs", signs).select("*", "signs.*").drop("signs")
         parts.append(
             part.select(
@@ -68,9 +63,9 @@ def _issue(holds: Column, kind: str, description: Column | str, severity: Column
     return F.when(holds, F.struct(*[c.alias(n) for c, n in zip(as_column, names)]))
 
 
-def quality_issues(df: DataFrame, columns: Sequence[str] | None = None, whole: bool = False) -> DataFrame:
+def quality_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``column, issue_type, description, severity``, at most one row per column and type."""
-    signs = quality_signs(df, columns, whole)
+    signs = quality_signs(df, columns)
     null_share = F.try_divide(F.col("nulls") * 100.0, F.col("rows"))
     kinds = F.col("distinct") + F.when(F.col("nulls") > 0, 1).otherwise(0)
     kind_share = F.try_divide(kinds * 100.0, F.col("rows") - F.col("nulls"))

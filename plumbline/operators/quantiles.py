@@ -3,9 +3,11 @@
 Spark's ``percentile`` is exact but holds every distinct value of a column in one buffer, which a
 large column outgrows. Here each wanted rank is narrowed down instead: a pass counts the rows of the
 rank's value range in equal-width buckets and keeps the bucket the rank falls in, with the smallest
-and largest value seen there as the next range. Once few rows are left in the open ranges, a last
-pass counts the values themselves. A pass is a scan of the wanted columns, grouped by a bounded
+and largest value seen there as the next range, until that is one value. A pass is a scan of the wanted columns, grouped by a bounded
 number of buckets; what comes back to the driver is one row per rank still open.
+
+The passes run when a function here is called. Each counts the rows of its ranges anew, and it is an
+error if they have changed: a frame must give the same rows on every scan (``session.stage`` makes it).
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from plumbline.operators.columns import numeric_columns, one_row_each, value
 
 BUCKETS = 1024
 STRIDE = 2 * BUCKETS  # room for a span's buckets in a key
-COUNT_VALUES_BELOW = 1_000_000
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -72,43 +73,43 @@ def _bucket(x: Column, span: _Range) -> Column:
     return (above / half * BUCKETS if math.isinf(BUCKETS / half) else above * (BUCKETS / half)).cast("int")
 
 
-def _entry(x: Column, spans: dict[_Range, int], by_value: bool) -> Column:
-    """``key, x`` of one value: the number of its span, and with that its bucket unless values are counted."""
+def _entry(x: Column, spans: dict[_Range, int]) -> Column:
+    """``key, x`` of one value: the number of its span with its bucket there."""
     key = F.lit(None).cast("long")
     for span, number in spans.items():
-        place = F.lit(number) if by_value else number * STRIDE + _bucket(x, span)
-        key = F.when(x.between(F.lit(span.low), F.lit(span.high)), place).otherwise(key)
+        key = F.when(x.between(F.lit(span.low), F.lit(span.high)), number * STRIDE + _bucket(x, span)).otherwise(key)
     return F.struct(key.alias("key"), x.alias("x"))
 
 
-def _narrow(df: DataFrame, wanted: dict[tuple[str, int], _Range], by_value: bool) -> dict[tuple[str, int], _Range]:
+def _narrow(df: DataFrame, wanted: dict[tuple[str, int], _Range]) -> dict[tuple[str, int], _Range]:
     """One pass over the columns still open: the sub-range of every wanted rank."""
     number = {span: i for i, span in enumerate(dict.fromkeys(wanted.values()))}
     entries = []
     for name in dict.fromkeys(span.column for span in number):
         mine = {span: i for span, i in number.items() if span.column == name}
-        entries.append(_entry(value(df, name).cast("double"), mine, by_value))
+        entries.append(_entry(value(df, name).cast("double"), mine))
     inside = df.select(F.inline(F.array(*entries))).where("key is not null")
     # One whole number as the key keeps the map of buckets on the fast path.
-    groups = inside.groupBy("key", "x") if by_value else inside.groupBy("key")
-    counted = groups.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    span_of = F.col("key") if by_value else F.floor(F.col("key") / STRIDE)
-    # The buckets of a span are few, and so are its values once they are counted one by one.
-    in_order = Window.partitionBy("span").orderBy("low")
-    counted = counted.withColumn("span", span_of.cast("int")).withColumn("upto", F.sum("n").over(in_order))
+    counted = inside.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    # The buckets of a span are few.
+    span = Window.partitionBy("span")
+    counted = counted.withColumn("span", F.floor(F.col("key") / STRIDE).cast("int"))
+    counted = counted.withColumns({"upto": F.sum("n").over(span.orderBy("low")), "rows": F.sum("n").over(span)})
     # The wanted ranks of each span, counted from the span's first row.
     ranks = [[rank - span.below for (_, rank), s in wanted.items() if s == span] for span in number]
     hit = F.exists(
         F.element_at(F.lit(ranks), F.col("span") + 1),
         lambda r: (F.col("upto") - F.col("n") <= r) & (r < F.col("upto")),
     )
-    found = counted.where(hit).select("span", "n", "low", "high", "upto").collect()
+    found = counted.where(hit).select("span", "n", "low", "high", "upto", "rows").collect()
     narrowed = {}
     for (name, rank), span in wanted.items():
         for row in found:
             start = span.below + row["upto"] - row["n"]
-            if row["span"] == number[span] and start <= rank < start + row["n"]:
+            if row["span"] == number[span] and row["rows"] == span.rows and start <= rank < start + row["n"]:
                 narrowed[name, rank] = _Range(name, row["low"], row["high"], start, row["n"])
+        if (name, rank) not in narrowed:
+            raise ValueError(f"column {name!r} has other values than on the scan before; stage the frame first")
     return narrowed
 
 
@@ -116,7 +117,6 @@ def quantile_values(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     probabilities: Sequence[float] = QUARTILES,
-    count_values_below: int = COUNT_VALUES_BELOW,
 ) -> dict[str, list[float | None]]:
     """For each numeric column the exact quantiles, linear between neighbours; None without values."""
     names = numeric_columns(df, columns)
@@ -130,8 +130,7 @@ def quantile_values(
             at[name, math.floor(position)] = span
             at[name, math.ceil(position)] = span
     while wanted := {key: span for key, span in at.items() if span.open}:
-        left = sum(span.rows for span in set(wanted.values()))
-        at |= _narrow(df, wanted, by_value=left <= count_values_below)
+        at |= _narrow(df, wanted)
     result = {}
     for name in names:
         if name not in extent:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import parse_time_or_serial
 from plumbline.functions.numbers import percent, to_double
 from plumbline.functions.text import BLANK
-from plumbline.operators.columns import NUMERIC, TEMPORAL, TEXT, one_row_each, pick, stack, type_of, value
+from plumbline.operators.columns import NUMERIC, TEMPORAL, TEXT, as_text, bounded, col, one_row_each, pick, stack, type_of, value
 from plumbline.operators.column_types import underscored
 from plumbline.operators.expressions import (
     as_number,
@@ -29,7 +30,7 @@ from plumbline.operators.expressions import (
     needs_arithmetic,
     text_kinds,
 )
-from plumbline.operators.frequencies import kind_counts
+from plumbline.operators.frequencies import frequency, kind_counts
 
 NOT_NULL = "expect_column_values_to_not_be_null"
 IN_SET = "expect_column_values_to_be_in_set"
@@ -45,6 +46,8 @@ MEAN_BETWEEN = "expect_column_mean_to_be_between"
 DATE_PARSEABLE = "expect_column_values_to_be_dateutil_parseable"
 
 CHECKS_AT_ONCE = 24
+#: Rows that a broadcast may hold; counted before.
+BROADCAST_ROWS = 200_000
 
 RESULT = (
     "rule_id string, expectation_type string, column string, element_count bigint, missing_count bigint,"
@@ -127,7 +130,7 @@ def _in_set(kind: Any, c: Column, allowed: Iterable[Any]) -> Column:
     if isinstance(kind, TEXT):
         same = [v for v in allowed if isinstance(v, str)]
     elif isinstance(kind, NUMERIC):
-        same = [v for v in allowed if isinstance(v, (int, float)) and not isinstance(v, bool)]
+        same = [v for v in allowed if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)]
     elif isinstance(kind, TEMPORAL):
         c, same = c.cast("timestamp_ntz"), [F.lit(v).try_cast("timestamp_ntz") for v in allowed if v is not None]
     else:
@@ -148,12 +151,20 @@ def _pair(df: DataFrame, rule: Rule, kinds: Mapping[str, str]) -> tuple[Column,
     if all(times):
         return as_time(df, a, date_format), as_time(df, b, date_format)
     if any(times):
-        # A time never equals a plain number: make the sides differ wherever both are there.
-        present = lambda n, mark: F.when(value(df, n).isNotNull(), F.lit(mark))
-        return present(a, 0), present(b, 1)
+        return _never_equal(df, a, b)
+    plain = [kinds.get(n) == "string" for n in (a, b)]
+    if all(plain):
+        return value(df, a), value(df, b)
+    if any(plain):
+        return _never_equal(df, a, b)
     return number_a, as_number(df, b, kinds, places, date_format)
 
 
+def _never_equal(df: DataFrame, a: str, b: str) -> tuple[Column, Column]:
+    """Sides of different kinds: they differ wherever both are there."""
+    return F.when(value(df, a).isNotNull(), F.lit(0)), F.when(value(df, b).isNotNull(), F.lit(1))
+
+
 def _right_side(rule: Rule) -> str:
     other = rule.kwargs.get("value")
     if "column_B" not in rule.kwargs and isinstance(other, Mapping) and "$eval" in other:
@@ -327,10 +338,44 @@ def validate(df: DataFrame, rules: Any) -> DataFrame:
 
 
 def failing_rows(df: DataFrame, rules: Any) -> DataFrame:
-    """The rows that fail a row rule, with ``failed_rules`` naming which; no shuffle."""
-    checks = row_checks(df, read_rules(rules))
-    failed = F.array_compact(F.array(*[F.when(check.fails, F.lit(check.rule_id)) for check in checks]))
-    return df.withColumn("failed_rules", failed.cast("array<string>")).where(F.size("failed_rules") > 0)
+    """The rows that fail a row or uniqueness rule, with ``failed_rules`` naming which.
+
+    Row rules need no shuffle. For a uniqueness rule the values that occur more than once, each one row,
+    are joined back to the rows: by broadcast if a count shows that they are few. A rule about the whole
+    table has no failing rows and is an error.
+    """
+    rules = read_rules(rules)
+    whole = [r.rule_id for r in rules if r.expectation_type in (ROW_COUNT, MEAN_BETWEEN)]
+    if whole:
+        raise ValueError(f"rules about the whole table have no failing rows: {', '.join(map(str, whole))}")
+    marks = [F.when(check.fails, F.lit(check.rule_id)) for check in row_checks(df, rules)]
+    marked = df
+    for i, rule in enumerate(r for r in rules if r.expectation_type == UNIQUE):
+        (name,) = pick(df, [rule.kwargs["column"]])
+        again = kind_counts(df, name).where("value IS NOT NULL AND n > 1").select(F.col("value").alias(f"_again_{i}"))
+        if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            again = F.broadcast(again)
+        marked = marked.join(again, bounded(df, name) == F.col(f"_again_{i}"), "left")
+        marks.append(F.when(F.col(f"_again_{i}").isNotNull(), F.lit(rule.rule_id)))
+    failed = F.array_compact(F.array(*marks)).cast("array<string>")
+    return marked.select(*[col(c) for c in df.columns], failed.alias("failed_rules")).where(F.size("failed_rules") > 0)
+
+
+def unexpected_values(df: DataFrame, rules: Any) -> DataFrame:
+    """``rule_id, column, value, count``: every value that fails a rule about one column, as text."""
+    rules = read_rules(rules)
+    parts = []
+    for check in row_checks(df, rules):
+        if check.column in df.columns:
+            parts.append((check.rule_id, check.column, frequency(df.where(check.fails), check.column)))
+    for rule in rules:
+        if rule.expectation_type == UNIQUE:
+            (name,) = pick(df, [rule.kwargs["column"]])
+            parts.append((rule.rule_id, name, frequency(df, name).where("value IS NOT NULL AND n > 1")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rule_id string, column string, value string, count bigint")
+    shown = lambda name: as_text(type_of(df, name), F.col("value")).alias("value")
+    return stack([f.select(F.lit(i).alias("rule_id"), F.lit(n).alias("column"), shown(n), F.col("n").alias("count")) for i, n, f in parts])
 
 
 def suite_summary(results: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.quality_report import quality_report
+from plumbline.session import stage
 from plumbline.sources.files import scan_file
 from plumbline.sources.reports import write_report
 from plumbline.sources.tables import read_table, table_info
@@ -32,5 +33,5 @@ def analyze_table(
 
 
 def analyze_file(spark: SparkSession, path: str, rules: Any = None, output: str | None = None) -> dict[str, DataFrame]:
-    """The quality report of a CSV or JSON file. With ``output`` each part is written as JSON."""
-    return _write(quality_report(scan_file(spark, path), rules), output)
+    """The quality report of a CSV or JSON file, parsed once. With ``output`` each part is written as JSON."""
+    return _write(quality_report(stage(scan_file(spark, path)), rules), output)

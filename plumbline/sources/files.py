@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.numbers import PLAIN_INTEGER, to_double
-from plumbline.operators.columns import col
+from plumbline.operators.columns import col, stack
 
 # Cells of a CSV file that mean there is no value.
 NULL_TOKENS = [
@@ -64,14 +65,39 @@ def _as(kind: str, c: Column) -> Column:
 
 
 def _cells(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> DataFrame:
-    """All cells as text. A row with too few has nulls at its end; one with too many is an error."""
+    """All cells as text, by the names in each file's header.
+
+    One pass over the lines finds the header of every file and, unless records may span lines, a quote
+    that is left open, which is an error. Files with the same header are read together.
+    """
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    per_file = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max(F.when(open_quote, F.col("value"))).alias("open"))
+    headers = per_file.groupBy("header").agg(F.max("open").alias("open"), F.collect_list("file").alias("files")).collect()
+    broken = [row["open"] for row in headers if row["open"] is not None]
+    if broken and not multi_line:
+        raise ValueError(f"a quote is left open, set multi_line if cells hold line breaks: {broken[0]!r}")
+    if len(headers) < 2:
+        return _same_header(spark, path, multi_line)
+    frames = [_same_header(spark, [unquote(f) for f in row["files"]], multi_line) for row in sorted(headers, key=lambda r: r["header"])]
+    if len({frozenset(f.columns) for f in frames}) > 1:
+        raise ValueError(f"files of {path} have other columns: {'; '.join(sorted(row['header'] for row in headers))}")
+    return stack(frames)
+
+
+def _same_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> DataFrame:
+    """A row with too few cells has nulls at its end; one with too many is an error."""
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     names = reader.csv(path).columns
     odd = "_row_of_another_width"
     fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, odd]])
     rows = reader.schema(fields).option("columnNameOfCorruptRecord", odd).csv(path)
+    # Cut once more with room for one more cell, which is null only if it isn't there.
+    wider = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    extra = F.from_csv(F.col(odd), wider, {"nullValue": "\x00", "escape": '"'})[f"c{len(names)}"]
     too_long = F.raise_error(F.concat(F.lit("more cells than columns: "), F.col(odd))).cast("string")
-    last = F.when(F.col(odd).isNotNull() & col(names[-1]).isNotNull(), too_long).otherwise(col(names[-1]))
+    last = F.when(F.col(odd).isNotNull() & extra.isNotNull(), too_long).otherwise(col(names[-1]))
     return rows.select(*[col(n) for n in names[:-1]], last.alias(names[-1]))
 
 
