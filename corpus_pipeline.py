@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontamination, mixing, near_duplicates, quality_rules, toxicity
+from plumbline.llm.common import small
 from plumbline.session import stage as staged
 
 
@@ -40,14 +41,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Repeated rows of that id count once. Rows without an id stay only if no row of their group has one.
     """
     found = near_duplicates.near_duplicates(docs)
-    chosen = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count("*").alias("rows")).withColumnRenamed("id", "chosen")
-    chosen = staged(chosen, "chosen")
-    repeated = chosen.where("rows > 1 AND chosen IS NOT NULL")
-    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["chosen"]), "left_semi")
+    decided = found.groupBy("id").agg(F.count_if(F.col("id").eqNullSafe(F.col("component_id"))).alias("rows")).where("rows <> 1")
+    decided = staged(decided.withColumnRenamed("id", "decided"), "decided")
+    gone = decided.where("rows = 0").select("decided")
+    repeated = decided.where("rows > 1 AND decided IS NOT NULL")
+    # The ids that go are the fewer, and texts need not be shuffled where these can be broadcast.
+    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["decided"]), "left_anti")
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, docs["doc_id"] == repeated["chosen"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, docs["doc_id"] == repeated["chosen"], "left_anti").unionByName(again)
+    again = kept.join(repeated, docs["doc_id"] == repeated["decided"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, docs["doc_id"] == repeated["decided"], "left_anti").unionByName(again)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
