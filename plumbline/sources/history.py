@@ -62,15 +62,16 @@ def store_anomalies(
     many there are per column. The values are written first, so a report that is there is complete.
     """
     report_id = uuid.uuid4().hex
-    values = categories.withColumns({"id": F.lit(report_id), "dataset_name": F.lit(dataset)})
-    values.write.mode("append").partitionBy("dataset_name", "id").parquet(f"{path}/values")
-    kept = anomaly_values(summary.sparkSession, path, dataset, report_id)
+    on = F.lit(comparison_date).cast("date")
+    values = categories.withColumns({"id": F.lit(report_id), "dataset_name": F.lit(dataset), "comparison_date": on})
+    values.write.mode("append").partitionBy("dataset_name", "comparison_date").parquet(f"{path}/values")
+    kept = anomaly_values(summary.sparkSession, path, dataset, report_id, comparison_date)
 
     def counts(change: str) -> DataFrame:
         return kept.where(F.col("change") == change).groupBy("column").agg(F.count(F.lit(1)).alias("values"))
 
     report = as_json_list(summary, "summary").select(
-        F.lit(comparison_date).cast("date").alias("comparison_date"),
+        on.alias("comparison_date"),
         "summary",
         as_json_list(column_anomalies, "column_anomalies").scalar().alias("column_anomalies"),
         as_json_list(counts("new"), "new_values").scalar().alias("new_values"),
@@ -79,11 +80,18 @@ def store_anomalies(
     return _append(report, f"{path}/reports", dataset, report_id)
 
 
-def anomaly_values(spark: SparkSession, path: str, dataset: str, report_id: str) -> DataFrame:
-    """``column, category, change`` of a stored comparison; reads that report's values only."""
-    stored = spark.read.schema("column string, category string, change string, dataset_name string, id string")
+def anomaly_values(
+    spark: SparkSession, path: str, dataset: str, report_id: str, comparison_date: date | None = None
+) -> DataFrame:
+    """``column, category, change`` of a stored comparison.
+
+    Values lie in a folder per data set and date; with the date given only that folder is read.
+    """
+    fields = "column string, category string, change string, id string, dataset_name string, comparison_date date"
     of_report = (F.col("dataset_name") == dataset) & (F.col("id") == report_id)
-    return stored.parquet(f"{path}/values").where(of_report).select("column", "category", "change")
+    if comparison_date is not None:
+        of_report &= F.col("comparison_date") == F.lit(comparison_date).cast("date")
+    return spark.read.schema(fields).parquet(f"{path}/values").where(of_report).select("column", "category", "change")
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
