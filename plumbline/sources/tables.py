@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.columns import col, quoted, stack
+from plumbline.session import stage
 from plumbline.sources.files import scan_csv
 
+#: Rows that a broadcast may hold; counted before.
+BROADCAST_ROWS = 200_000
+
 # What to do when the table is there already, and Spark's word for it.
 IF_EXISTS = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}
 
@@ -69,14 +73,22 @@ def with_row_numbers(df: DataFrame, name: str = "index") -> DataFrame:
     """Number the rows of a frame read from files, from 0 in file order, without sorting them.
 
     Rows of a file split stay together, so it is enough to count each split once and start its numbers
-    where the splits before it end. There is a row per split to add up and to broadcast.
+    where the splits before it end. The splits, a row each, are added up by ranges of files; only the sums
+    of the ranges meet in one task. Counting them is a job that runs when the frame is built.
     """
     split = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
     placed = df.select("*", *split, F.monotonically_increasing_id().alias("_at"))
     splits = placed.groupBy("_file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_file", "_start")) - F.col("_rows")
-    starts = splits.select("_file", "_start", (before - F.col("_first")).alias("_shift"))
-    numbered = placed.join(F.broadcast(starts), ["_file", "_start"])
+    splits = stage(splits.repartitionByRange("_file", "_start").withColumn("_range", F.spark_partition_id()), "splits")
+    ranges = splits.groupBy("_range").agg(F.sum("_rows").alias("_total"))
+    earlier = F.sum("_total").over(Window.orderBy("_range")) - F.col("_total")
+    ranges = ranges.select("_range", earlier.alias("_earlier"))
+    before = F.sum("_rows").over(Window.partitionBy("_range").orderBy("_file", "_start")) - F.col("_rows")
+    starts = splits.withColumn("_before", before).join(F.broadcast(ranges), "_range")
+    starts = starts.select("_file", "_start", (F.col("_earlier") + F.col("_before") - F.col("_first")).alias("_shift"))
+    if splits.count() <= BROADCAST_ROWS:
+        starts = F.broadcast(starts)
+    numbered = placed.join(starts, ["_file", "_start"])
     return numbered.select((F.col("_at") + F.col("_shift")).alias(name), *[col(n) for n in df.columns])
 
 

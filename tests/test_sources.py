@@ -141,7 +141,9 @@ def test_tables(spark, tmp_path):
         tables.write_table(frame, "t", "maybe")
 
 
-def test_ingest_with_row_numbers(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_rows", [tables.BROADCAST_ROWS, 0])
+def test_ingest_with_row_numbers(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast_rows)
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(3):
