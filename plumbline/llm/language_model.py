@@ -2,7 +2,9 @@
 
 p(w | v) = a c(v w) / c(v) + b c(w) / N + (1 - a - b) / (V + 1), with one pair of weights for each
 doubling of the context's frequency c(v). The weights are learned by expectation-maximisation on deleted
-counts: for a sample of training documents, counts over all others. A text is its words and one end,
+counts: at every position of every training document, counts over all other documents. Positions whose
+estimates agree within an eighth of a doubling are one cell, with their mean; so what the rounds
+read is bounded, and the error is of second order. A text is its words and one end,
 which is also the context of the first word; so a context's count is its count as a token.
 
 Counts cover every training document. Texts are dealt into chunks by a hash. A chunk asks once for each
@@ -10,7 +12,8 @@ different n-gram in it, by a 64-bit key, however often it has it: it sends sorte
 counts to key ranges, which add them up and send the totals back in the same order, with the numbers of
 tokens and types. So a word or pair
 that every text has costs a key per chunk, and no text meets another. The texts are shuffled once: the
-questions and the scoring read the same exchange.
+questions and the answers read the same exchange. The counts at all positions are written to the shared
+folder; from them the weights are learned and the texts scored.
 
 Null texts are empty: one token, the end. Null ids are never held out. Ties and repeated rows score
 alike. An empty table gives an empty table; without training documents every token is unknown and the
@@ -23,13 +26,13 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import shipped
+from plumbline.session import stage
 
 shipped(__name__)
 
@@ -40,8 +43,13 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a pair's key. Words have all 64, as their counts must be right; two of 10 million million pairs
 #: sharing a key would only blur an estimate.
 PAIR_BITS = 48
-#: Documents whose n-grams a task takes up at once while counting the sample's.
+#: Documents that a task scores at once.
 AT_ONCE = 500
+#: Positions, in whole documents, whose counts a task deletes from at once.
+BLOCK = 1 << 18
+#: Eighths of doublings that a cell tells apart in an estimate; 0 is for none.
+EIGHTHS = 512
+CELL = ("cell", "n", "pair", "word")
 
 
 class Grams:
@@ -109,93 +117,103 @@ def widened(data: bytes) -> np.ndarray:
     return keys.view(np.uint64).ravel()
 
 
-def learn(estimates: np.ndarray, buckets: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Mixture weights [bucket, estimate] by expectation-maximisation. A bucket starts from the weights of
-    all positions together and counts as ten positions of these; the uniform part never vanishes."""
+def learn(estimates: np.ndarray, buckets: np.ndarray, n: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Mixture weights [bucket, estimate] by expectation-maximisation, where each row of estimates stands for
+    ``n`` positions. A bucket starts from the weights of all positions together and counts as ten positions
+    of these; the uniform part never vanishes."""
 
-    def maximise(rows: np.ndarray, start: np.ndarray, prior: float) -> np.ndarray:
+    def maximise(rows: np.ndarray, n: np.ndarray, start: np.ndarray, prior: float) -> np.ndarray:
         weights = start
         for _ in range(rounds):
             share = rows * weights
-            share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
-            weights = (share.sum(axis=0) + prior * start) / (len(rows) + prior)
+            share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
+            weights = (share.sum(axis=0) + prior * start) / (n.sum() + prior)
         return weights
 
     def floored(weights: np.ndarray) -> np.ndarray:
         weights = np.maximum(weights, [0.0, 0.0, 1e-4])
         return weights / weights.sum()
 
-    together = maximise(estimates, np.full(3, 1 / 3), 1.0)
+    together = maximise(estimates, n, np.full(3, 1 / 3), 1.0)
     unseen = together * [0, 1, 1]
     out = []
     for b in range(BUCKETS):
-        rows = estimates[buckets == b]
-        out.append(floored(maximise(rows, unseen / unseen.sum() if b == 0 else together, 10.0)))
+        of = buckets == b
+        out.append(floored(maximise(estimates[of], n[of], unseen / unseen.sum() if b == 0 else together, 10.0)))
     out[0] = floored(out[0] * [0, 1, 1])
     return np.array(out)
 
 
-def weights(training: DataFrame, sample_docs: int) -> np.ndarray:
-    """Mixture weights from the deleted counts of about ``sample_docs`` training documents.
+def added(cells: list[np.ndarray]) -> list[np.ndarray]:
+    """(cell, n, pair, word) with a row for each different cell, the others added up."""
+    different, inverse = np.unique(cells[0], return_inverse=True)
+    return [different, *(np.bincount(inverse, weights=x, minlength=len(different)) for x in cells[1:])]
 
-    The sample's n-grams, bounded with it, are broadcast; every task counts them in its own texts. The
-    uniform estimate takes what the others can't explain, whatever its size, so here it is one in all tokens.
+
+def deleted_cells(grams: Grams, training: np.ndarray, word: np.ndarray, pair: np.ndarray, tokens: int) -> list[np.ndarray]:
+    """The positions of training texts by cell: (cell, positions, sums of the pair and the word estimates).
+
+    Estimates are from the counts in all other texts. A cell is a context bucket and, for either estimate
+    as a multiple of 1 / tokens, an eighth of a doubling.
     """
-    spark = training.sparkSession
-    total = training.count()
-    draw = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1 << 40)) / float(1 << 40)
-    texts = [r["text"] for r in training.where(draw * total < sample_docs).select("text").collect()]
-    grams = Grams(texts)
-    word_keys, pair_keys = (spark.sparkContext.broadcast(np.sort(k)) for k in (grams.word_keys, grams.pair_keys))
-
-    def hits(own: np.ndarray, n: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sought):
-            return own[:0].astype(np.int64), n[:0]
-        place = np.minimum(np.searchsorted(sought, own), len(sought) - 1)
-        hit = sought[place] == own
-        return place[hit], n[hit]
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), AT_ONCE):
-                own = Grams(batch["text"].iloc[at : at + AT_ONCE])
-                words, pairs = own.counts(np.ones(len(own.lengths)))
-                found = hits(own.word_keys, words, word_keys.value), hits(own.pair_keys, pairs, pair_keys.value)
-                yield pd.DataFrame({"order": 0, "place": [0], "n": [len(own.tokens)]})
-                for order, (place, n) in enumerate(found, 1):
-                    yield pd.DataFrame({"order": order, "place": place, "n": n})
-
-    schema = "order int, place long, n long"
-    found = training.select("text").mapInPandas(count, schema).groupBy("order", "place").agg(F.sum("n").alias("n")).toPandas()
-
-    def totals(order: int, keys: np.ndarray) -> np.ndarray:
-        some, out = found[found["order"] == order], np.zeros(len(keys), dtype=np.int64)
-        out[some["place"].to_numpy(dtype=np.int64)] = some["n"].to_numpy(dtype=np.int64)
-        return out[np.searchsorted(np.sort(keys), keys)]
-
-    tokens = int(found.loc[found["order"] == 0, "n"].sum())
-    word, pair = totals(1, grams.word_keys), totals(2, grams.pair_keys)
-    document = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
-
-    def deleted(of: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """At each position, the count of what stands there in all documents but this one."""
-        _, inverse, n = np.unique(document * (len(total) + 1) + of, return_inverse=True, return_counts=True)
-        return np.maximum(total[of] - n[inverse], 0)
-
-    context = deleted(grams.contexts, word)
-    pairs = np.minimum(deleted(grams.pair_of, pair), context) / np.maximum(context, 1)
-    words = deleted(grams.tokens, word) / max(tokens, 1)
-    return learn(np.stack([pairs, words, np.full(len(words), 1.0 / max(tokens, 1))], axis=1), bucket_of(context))
-
-
-def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", sample_docs: int = 800, chunks: int | None = None) -> DataFrame:
+
+    def eighth(x: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, 1 + np.floor(8 * np.log2(np.maximum(x, 1))), 0).clip(0, EIGHTHS - 1).astype(np.int64)
+
+    cells = [np.zeros(0, dtype=np.int64), *(np.zeros(0) for _ in range(3))]
+    begins = np.flatnonzero(np.diff(grams.starts // BLOCK, prepend=-1)).tolist()
+    for a, b in zip(begins, [*begins[1:], len(grams.starts)]):
+        taught, lengths = training[a:b], grams.lengths[a:b]
+        at = grams.starts[a] + np.flatnonzero(np.repeat(taught, lengths))
+        document = np.repeat(np.arange(b - a), np.where(taught, lengths, 0))
+
+        def deleted(of: np.ndarray, total: np.ndarray) -> np.ndarray:
+            """At each position, the count of what stands there in all documents but this one."""
+            _, inverse, n = np.unique(document * len(total) + of, return_inverse=True, return_counts=True)
+            return np.maximum(total[of] - n[inverse], 0)
+
+        words = deleted(grams.tokens[at], word)
+        # the end is once in every text, so the end of the text before counts as much as that of its own
+        context = np.roll(words, 1)
+        pairs = np.minimum(deleted(grams.pair_of[at], pair), context) / np.maximum(context, 1)
+        cell = (bucket_of(context) * EIGHTHS + eighth(pairs * tokens)) * EIGHTHS + eighth(words)
+        own = added([cell, np.ones(len(at)), pairs, words / max(tokens, 1)])
+        cells = added([np.concatenate(both) for both in zip(cells, own)])
+    return cells
+
+
+def weights(cells: DataFrame, tokens: int) -> np.ndarray:
+    """Mixture weights from the cells of all training positions.
+
+    The cells' number is bounded, whatever the size of the table; their sums reach the driver. The uniform
+    estimate takes what the others can't explain, whatever its size, so here it is one in all tokens.
+    """
+    summed = cells.groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "pair", "word"))).toArrow()
+    cell, n, pair, word = (summed[c].to_numpy() for c in ("cell", "n", "pair", "word"))
+    order = np.argsort(cell)
+    cell, n, pair, word = cell[order], n[order], pair[order], word[order]
+    estimates = np.stack([pair / n, word / n, np.full(len(n), 1.0 / max(tokens, 1))], axis=1)
+    return learn(estimates, cell // EIGHTHS**2, n)
+
+
+def packed_positions(own: np.ndarray, pair: np.ndarray) -> bytes:
+    """The counts of a text's words and pairs at each of its positions, byte by byte of the numbers."""
+    planes = np.concatenate([own, pair]).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_positions(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 16 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(2, n)
+
+
+def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", chunks: int | None = None) -> DataFrame:
     """``id, training, n_tokens, n_known, train_tokens, base_score, score`` for every text.
 
     ``training`` is a column that says which rows teach. ``chunks``: by default two for each task that
     reads the table, so that a chunk is as large as half a file split; 64 at least.
     """
     rows = df.select(df[id].alias("id"), F.coalesce(df[text], F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    mixture = weights(rows.where("training").select("id", "text"), sample_docs)
     if chunks is None:
         chunks = max(64, 2 * (df.select(F.spark_partition_id().alias("p")).distinct().count()))
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
@@ -235,7 +253,8 @@ def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", sampl
         rows = table.num_rows
         return pa.table(out | {"tokens": pa.array([sizes[0]] * rows, pa.int64()), "types": pa.array([sizes[1]] * rows, pa.int64())})
 
-    def finish(texts: pa.Table, totals: pa.Table) -> pa.Table:
+    def look_up(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        """Counts at every position of the chunk's texts; the cells of all its texts are in its first row."""
         grams = Grams(texts["text"].to_pylist())
         totals = totals.sort_by("part")
         tokens, types = sum(totals["tokens"].to_pylist()), sum(totals["types"].to_pylist())
@@ -247,28 +266,56 @@ def score(df: DataFrame, training, id: str = "doc_id", text: str = "text", sampl
                 found[order[a:b]] = unpacked(data.as_py(), b - a)
             counts.append(found)
         word, pair = counts
-        own, context = word[grams.tokens], word[grams.contexts]
-        bucket = bucket_of(context)
-        model = mixture[bucket, 0] * (pair[grams.pair_of] / np.maximum(context, 1))
-        model += mixture[bucket, 1] * (own / max(tokens, 1))
-        model += mixture[bucket, 2] / (types + 1)
+        own = word[grams.tokens]
         base = np.log10((own + 1) / (tokens + types + 1))
         each = lambda x: np.add.reduceat(x, grams.starts)  # noqa: E731  no text is without a token
+        spans = [slice(a, a + n) for a, n in zip(grams.starts.tolist(), grams.lengths.tolist())]
+        cells = deleted_cells(grams, texts["training"].to_numpy(), word, pair, tokens)
+        cells[1] = cells[1].astype(np.int64)
+        none = [None] * (len(spans) - 1)
         return pa.table({
             "id": texts["id"],
             "training": texts["training"],
             "n_tokens": pa.array(grams.lengths),
             "n_known": pa.array(each((own > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(grams.lengths), tokens, dtype=np.int64)),
+            "train_tokens": pa.array(np.full(len(spans), tokens, dtype=np.int64)),
+            "types": pa.array(np.full(len(spans), types, dtype=np.int64)),
             "base_score": pa.array(each(base)),
-            "score": pa.array(each(np.log10(model))),
+            "positions": pa.array([packed_positions(own[s], pair[grams.pair_of[s]]) for s in spans], pa.binary()),
+            **{
+                name: pa.array([x, *none], pa.list_(kind))
+                for name, x, kind in zip(CELL, cells, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))
+            },
         })
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                lengths = part.column("n_tokens").to_numpy()
+                counts = [unpacked_positions(x, n) for x, n in zip(part.column("positions").to_pylist(), lengths.tolist())]
+                own, pair = np.concatenate(counts, axis=1)
+                tokens, types = part.column("train_tokens")[0].as_py(), part.column("types")[0].as_py()
+                context = np.roll(own, 1)  # every text's first context is the end, as its last word is
+                bucket = bucket_of(context)
+                model = mixture[bucket, 0] * (pair / np.maximum(context, 1))
+                model += mixture[bucket, 1] * (own / max(tokens, 1))
+                model += mixture[bucket, 2] / (types + 1)
+                score = np.add.reduceat(np.log10(model), np.cumsum(lengths) - lengths)
+                out = ["id", "training", "n_tokens", "n_known", "train_tokens", "base_score"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(score)], [*out, "score"])
+
     kind = df.schema[id].dataType.simpleString()
     asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk int, part int, words binary, n_words binary, pairs binary, n_pairs binary")
     totals = asked.groupBy("part").applyInArrow(total, "chunk int, part int, words binary, pairs binary, tokens long, types long")
-    return (
+    scores = f"id {kind}, training boolean, n_tokens long, n_known long, train_tokens long"
+    cells = "cell array<long>, n array<long>, pair array<double>, word array<double>"
+    counted = stage(
         dealt.groupBy("chunk")
         .cogroup(totals.groupBy("chunk"))
-        .applyInArrow(finish, f"id {kind}, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .applyInArrow(look_up, f"{scores}, types long, base_score double, positions binary, {cells}"),
+        "counted",
     )
+    any_row = counted.select("train_tokens").first()
+    mixture = weights(counted.where(F.col("cell").isNotNull()).select(F.inline(F.arrays_zip(*CELL))), any_row[0] if any_row else 0)
+    return counted.drop(*CELL).mapInArrow(finish, f"{scores}, base_score double, score double")

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names; skew; plan shapes."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,39 @@ def test_language_model(odd, none):
     assert {(r["n_known"], r["train_tokens"]) for r in untaught} == {(0, 0)}
 
 
+def test_mixture_weights_are_learned_from_all_documents(spark):
+    import numpy as np
+
+    rng = random.Random(11)
+    texts = []
+    for i in range(2500):
+        topic = [f"t{i % 7}w{int(rng.paretovariate(0.7)) % 400}" for _ in range(rng.randint(3, 25))]
+        texts.append(" ".join(w for word in topic for w in ((word, f"after_{word}") if rng.random() < (i % 10) / 10 else (word,))))
+    split = [[*t.split(), ""] for t in texts]
+    word, pair = Counter(), Counter()
+    for words in split:
+        word.update(words)
+        pair.update(zip(["", *words], words))
+    tokens = sum(word.values())
+    estimates, contexts = [], []
+    for words in split:
+        own, own_pairs = Counter(words), Counter(zip(["", *words], words))
+        for v, w in zip(["", *words], words):
+            context = word[v] - own[v]
+            contexts.append(context)
+            estimates.append(((pair[v, w] - own_pairs[v, w]) / max(context, 1), (word[w] - own[w]) / tokens, 1 / tokens))
+    buckets = language_model.bucket_of(np.array(contexts))
+    mixture = language_model.learn(np.array(estimates), buckets, np.ones(len(buckets)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["score"] for r in language_model.score(docs, F.lit(True), chunks=5).collect()}
+    for i, words in enumerate(split):
+        expected = 0.0
+        for v, w in zip(["", *words], words):
+            a, b, c = mixture[language_model.bucket_of(np.array([word[v]]))[0]]
+            expected += np.log10(a * pair[v, w] / word[v] + b * word[w] / tokens + c / (len(word) + 1))
+        assert found[i] == pytest.approx(expected, rel=2e-4)
+
+
 def test_near_duplicates(odd, none):
     found = run(odd, none, near_duplicates.near_duplicates)
     assert {r["component_id"] for r in found if r["id"] in (4, 5, None)} == {4}
