@@ -4,7 +4,8 @@ Templates and texts are cut to words; a fingerprint is the hash of ``GRAM`` word
 ``WINDOW`` fingerprints in a row the least are kept. So a template and a text that share GRAM + WINDOW - 1
 words in a row share a kept fingerprint. The inverted index has the template positions of each kept
 fingerprint; it grows with the templates alone and goes to the tasks. Hits of a text on nearby diagonals
-are one candidate, which is aligned with its template in a band around them. A match reports the share of
+are one candidate, which is aligned with its template in a band around them; hits before and after the
+words aligned are candidates again. A match reports the share of
 the template's words that the alignment covers, and its span in words and characters.
 
 Of matches that overlap in a text, the one with most matched words is reported; a template that occurs
@@ -16,6 +17,7 @@ An empty table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,39 +145,62 @@ class Scanner:
         by: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for place, key in zip(at[hit].tolist(), h[hit].tolist()):
             text = int(np.searchsorted(starts, place, side="right")) - 1
+            place -= int(starts[text])
             for t, offset in self.postings[key]:
-                by.setdefault((text, t), []).append((place - int(starts[text]) - offset, offset))
-        out = []
-        for (text, t), diagonals in sorted(by.items()):
-            template, words, spans = self.words[t], split[text], None
-            ends = -1
-            for diagonal, _ in sorted(diagonals):
-                if diagonal < ends:  # within the band of the candidate before
-                    continue
-                ends = diagonal + BAND
-                matched, first, end = align(template, words, diagonal + BAND // 2)
-                if matched < self.least * len(template):
-                    continue
-                if spans is None:
+                by.setdefault((text, t), []).append((place, place - offset))
+        out, spans_of = [], {}
+        for (text, t), hits in sorted(by.items()):
+            for matched, first, end in self._occurrences(self.words[t], split[text], sorted(hits)):
+                if text not in spans_of:
                     # positions in the text itself: lower() may change the length
                     spans = [m.span() for m in WORD.finditer(texts[text])]
-                    if len(spans) != len(words):
+                    if len(spans) != len(split[text]):
                         spans = [m.span() for m in WORD.finditer(texts[text].lower())]
-                found = (text, self.names[t], matched, len(template), matched / len(template), first, end, spans[first][0], spans[end - 1][1])
-                if not out or out[-1] != found:
-                    out.append(found)
+                    spans_of = {text: spans}
+                spans, length = spans_of[text], len(self.words[t])
+                out.append((text, self.names[t], matched, length, matched / length, first, end, spans[first][0], spans[end - 1][1]))
         return self._best(out)
 
+    def _occurrences(self, template: list[str], words: list[str], hits: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """(matched, first, end) of the template's occurrences, from its hits (place, diagonal) by place.
+
+        What lies before and after an occurrence is searched by itself, so none hides another.
+        """
+        places = [place for place, _ in hits]
+        least = max(1, self.least * len(template))
+        open_ = [(0, len(words), 0, len(hits))]  # words and hits still to be searched
+        while open_:
+            low, high, i, j = open_.pop()
+            failed = None
+            while i < j and high - low >= least:
+                place, diagonal = hits[i]
+                if failed is not None and failed <= diagonal < failed + BAND:  # within the band of a candidate that is none
+                    i += 1
+                    continue
+                ahead = bisect_left(places, place + len(template), i, j)
+                lowest = min(d for _, d in hits[i:ahead] if d > diagonal - BAND)
+                begin = max(low, lowest - BAND)
+                part = words[begin : min(high, lowest + len(template) + 2 * BAND)]
+                matched, first, end = align(template, part, lowest + BAND // 2 - begin)
+                if matched < least:
+                    failed, i = lowest, i + 1
+                    continue
+                first, end = first + begin, end + begin
+                yield matched, first, end
+                open_.append((end, high, bisect_left(places, end, i, j), j))
+                high, j = first, bisect_left(places, first - GRAM + 1, i, j)
+
     @staticmethod
     def _best(found: list[tuple]) -> list[tuple]:
         """Of matches of a text whose words overlap, the one with most matched words (then coverage, then
         the shorter span, then the name): a notice that contains a shorter one is reported as itself."""
-        kept: dict[int, list[tuple]] = {}
+        kept: dict[int, list[tuple[int, int, tuple]]] = {}
         for match in sorted(found, key=lambda m: (m[0], -m[2], -m[4], m[6] - m[5], m[1])):
             others = kept.setdefault(match[0], [])
-            if all(match[6] <= o[5] or o[6] <= match[5] for o in others):
-                others.append(match)
-        return [m for text in sorted(kept) for m in sorted(kept[text], key=lambda m: m[5])]
+            at = bisect_left(others, (match[5],))
+            if (at == 0 or others[at - 1][1] <= match[5]) and (at == len(others) or match[6] <= others[at][0]):
+                others.insert(at, (match[5], match[6], match))
+        return [m for text in sorted(kept) for _, _, m in kept[text]]
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, least: float = 0.7) -> DataFrame:

@@ -221,6 +221,19 @@ def test_licenses(odd, none, docs_of):
     assert text[found[1]["first_char"] : found[1]["end_char"]] == "Released under the MIT License"
 
 
+@pytest.mark.parametrize("between", [" ", "\n", " and then some other words stand here\n"])
+def test_repeated_licenses_are_each_reported(between):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.7)
+    for name, notice in license_scan.TEMPLATES.items():
+        text = "Intro. " + between.join([notice] * 7)
+        found = scanner.scan([None, text, notice])
+        assert [(m[0], m[1], m[4]) for m in found] == [(1, name, 1.0)] * 7 + [(2, name, 1.0)]
+        assert len({m[5] for m in found[:7]}) == 7
+    # a worn occurrence between whole ones
+    text = "Released under the MIT License. Released under the MIT. Released under the MIT License."
+    assert [(m[1], m[2]) for m in scanner.scan([text])] == [("MIT", 5), ("MIT", 4), ("MIT", 5)]
+
+
 CALLS = "conversation long, call_id string, position long, name string, arguments string, depends_on array<string>"
 
 
