@@ -35,29 +35,31 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, cut: float = 0.5) -
     return toxicity.scored(_whole(docs), scorer).where(F.col("score") < cut).select("document.*")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``document, row_no``, staged: rows are told apart by the number, as ids may be null or repeated."""
+    document = F.struct(*[docs[c] for c in docs.columns]).alias("document")
+    return staged(docs.select(document, F.monotonically_increasing_id().alias("row_no")), "rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose numbers are not in ``gone``. These are the fewer, and texts need not be shuffled
+    where they can be broadcast."""
+    return rows.join(small(staged(gone.select("row_no"), "gone")), "row_no", "left_anti").select("document.*")
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group.
-
-    Repeated rows of that id count once. Rows without an id stay only if no row of their group has one.
-    """
-    found = near_duplicates.near_duplicates(docs)
-    decided = found.groupBy("id").agg(F.count_if(F.col("id").eqNullSafe(F.col("component_id"))).alias("rows")).where("rows <> 1")
-    decided = staged(decided.withColumnRenamed("id", "decided"), "decided")
-    gone = decided.where("rows = 0").select("decided")
-    repeated = decided.where("rows > 1 AND decided IS NOT NULL")
-    # The ids that go are the fewer, and texts need not be shuffled where these can be broadcast.
-    kept = docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["decided"]), "left_anti")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, docs["doc_id"] == repeated["decided"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, docs["doc_id"] == repeated["decided"], "left_anti").unionByName(again)
+    """One row of each group of near copies: that with the least id, null ids last; of equal ids the first."""
+    rows = _numbered(docs)
+    key = F.struct(F.col("document.doc_id").isNull().alias("unnamed"), F.col("document.doc_id").alias("doc_id"), "row_no")
+    found = near_duplicates.near_duplicates(rows.select(key.alias("key"), F.col("document.text").alias("text")), id="key")
+    return _without(rows, found.where("id.row_no <> component_id.row_no").select("id.row_no"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
-    leaks = staged(found.where("n_hit > 0").select(F.col("id").alias("leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+    rows = _numbered(docs)
+    found = decontamination.contamination(rows.select("row_no", F.col("document.text").alias("text")), _table(spark, sf_dir, "benchmark"), id="row_no")
+    return _without(rows, found.where("n_hit > 0").select(F.col("id").alias("row_no")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -278,3 +278,19 @@ def test_pipeline_stages(spark, odd, none, labels, tmp_path):
             assert docs is odd or out.count() == 0
     one = corpus_pipeline.one_of_each(spark, odd, str(tmp_path)).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in one) == [1, 4, 6, 7, 8]
+
+
+def test_pipeline_decides_by_row(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, SENTENCE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10_000)}" for _ in range(30)) for _ in range(5))
+    leak = f"{a} {SENTENCE}"
+    # copies of a with and without an id; copies of b without; two texts under one id; single texts without
+    docs = docs_of([(i, t, "en", "s") for i, t in [(1, a), (None, a), (None, b), (None, b), (None, b), (2, c), (2, d), (2, d), (None, e), (None, leak)]])
+    one = corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, one)) == Counter([(1, a), (None, b), (2, c), (2, d), (None, e), (None, leak)])
+    docs = docs.unionByName(docs_of([(2, leak, "en", "s")]))
+    clean = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, clean)) == Counter([(1, a), (None, a), *[(None, b)] * 3, (2, c), (2, d), (2, d), (None, e)])
