@@ -12,14 +12,16 @@ from plumbline.llm import (
     language_id,
     language_model,
     license_scan,
+    merkle,
     mixing,
     near_duplicates,
+    periodic_runs,
     quality_classifier,
     quality_rules,
     tool_calls,
     toxicity,
 )
-from plumbline.llm.common import remainder
+from plumbline.llm.common import blank_words, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -244,3 +246,133 @@ def op9_language_id(spark, sf_dir):
 def op10_near_duplicates(spark, sf_dir):
     found = near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), near_duplicates.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
+# CRC-32 of a decimal number, bit by bit.
+CRC_SQL = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+LEAF_PARTS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"CAST({text if p == 'text' else p} AS VARCHAR)" for p in LEAF_PARTS]
+    return "sha256(" + " || ".join(f"CASE WHEN {p} IS NULL THEN '-' ELSE strlen({p}) || ':' || {p} END" for p in parts) + ")"
+
+
+# Levels by number: each groups three nodes of the one below. Then the siblings of every ancestor of a leaf.
+MERKLE_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+           CASE WHEN {CRC_SQL} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS given
+    FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS total FROM leaves),
+lower AS (
+    SELECT 0 AS level, source, place AS spot, total, leaf AS digest FROM placed
+    UNION ALL
+    SELECT any_value(level) + 1, source, spot // 3, any_value(total + 2) // 3, sha256(string_agg(digest, '' ORDER BY spot)) FROM lower WHERE total > 1 GROUP BY source, spot // 3),
+subroots AS (
+    SELECT source, digest, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS total FROM lower WHERE total = 1),
+upper AS (
+    SELECT 0 AS level, place AS spot, total, digest FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, spot // 3, any_value(total + 2) // 3, sha256(string_agg(digest, '' ORDER BY spot)) FROM upper WHERE total > 1 GROUP BY spot // 3),
+lower_steps AS (
+    SELECT n.source, n.level, n.spot, coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot < n.spot), '') AS before,
+           coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot > n.spot), '') AS after
+    FROM lower n JOIN lower s ON n.source IS NOT DISTINCT FROM s.source AND n.level = s.level AND n.spot // 3 = s.spot // 3 WHERE n.total > 1 GROUP BY ALL),
+upper_steps AS (
+    SELECT n.level, n.spot, coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot < n.spot), '') AS before,
+           coalesce(string_agg(s.digest, '' ORDER BY s.spot) FILTER (s.spot > n.spot), '') AS after
+    FROM upper n JOIN upper s ON n.level = s.level AND n.spot // 3 = s.spot // 3 WHERE n.total > 1 GROUP BY ALL),
+walk AS (
+    SELECT p.source, p.place AS leaf_at, 0 AS level, p.place AS spot, given AS digest, '' AS siblings, height, r.place AS top FROM placed p JOIN subroots r ON p.source IS NOT DISTINCT FROM r.source
+    UNION ALL
+    SELECT w.source, w.leaf_at, w.level + 1, CASE WHEN w.level + 1 = w.height THEN w.top ELSE w.spot // 3 END,
+           sha256(coalesce(l.before, u.before) || w.digest || coalesce(l.after, u.after)), w.siblings || coalesce(l.before, u.before) || coalesce(l.after, u.after), w.height, w.top
+    FROM (SELECT * REPLACE (CASE WHEN level = 0 AND height = 0 THEN top ELSE spot END AS spot) FROM walk) w
+    LEFT JOIN lower_steps l ON w.level < w.height AND w.source IS NOT DISTINCT FROM l.source AND w.level = l.level AND w.spot = l.spot
+    LEFT JOIN upper_steps u ON w.level >= w.height AND w.level - w.height = u.level AND w.spot = u.spot
+    WHERE l.spot IS NOT NULL OR u.spot IS NOT NULL),
+last AS (SELECT source, leaf_at, arg_max(digest, level) AS digest, arg_max(siblings, level) AS siblings FROM walk GROUP BY ALL)
+SELECT p.doc_id, p.leaf, r.digest AS subroot, root, sha256(l.siblings) AS proof_sha256, l.digest AS folded_root, l.digest = root AS verified
+FROM placed p JOIN subroots r ON p.source IS NOT DISTINCT FROM r.source JOIN last l ON p.source IS NOT DISTINCT FROM l.source AND p.place = l.leaf_at
+CROSS JOIN (SELECT digest AS root FROM upper WHERE total = 1)
+"""
+
+
+@register(MERKLE_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    original = merkle.leaf([docs[c] for c in LEAF_PARTS])
+    tampered = merkle.leaf([F.replace(docs[c], F.lit("\n"), F.lit("")) if c == "text" else docs[c] for c in LEAF_PARTS])
+    given = F.when(remainder(docs["doc_id"], 2) == 0, tampered).otherwise(original)
+    made = merkle.manifest(docs, "source", "doc_id", original, {"given": given})
+    root = merkle.folded(F.col("given"), F.col("way"))
+    made = made.select(
+        F.col("id").alias("doc_id"),
+        merkle.as_hex(F.col("digest")).alias("leaf"),
+        merkle.as_hex(F.col("subroot")).alias("subroot"),
+        merkle.as_hex(F.col("root")).alias("root"),
+        F.sha2(merkle.proof(F.col("way")), 256).alias("proof_sha256"),
+        merkle.as_hex(root).alias("folded_root"),
+    )
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# Words that equal the one a lag on, in stretches; of stretches with equal ends that with the least lag.
+RUNS_SQL = f"""
+WITH split AS (SELECT doc_id, {CRC_SQL} AS h, {WORDS} AS w FROM documents),
+sized AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split),
+planted AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+               list_transform(range(1, n + 1), lambda i: w[CASE WHEN i > a THEN a + (i - 1 - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1 ELSE i END]) ELSE w END AS w
+    FROM sized),
+places AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM planted),
+same AS (SELECT x.doc_id, x.i, y.i - x.i AS lag FROM places x JOIN places y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT doc_id, lag, i, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS stretch FROM same),
+runs AS (
+    SELECT doc_id, start, length, min(lag) AS period
+    FROM (SELECT doc_id, lag, min(i) AS start, count(*) + lag AS length FROM stretches GROUP BY doc_id, lag, stretch HAVING count(*) + lag >= greatest(6, 4 * lag))
+    GROUP BY doc_id, start, length),
+digests AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+           min({{'less': -(length::DECIMAL(38, 18) / period), 'start': start, 'period': period, 'length': length}}) AS best
+    FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS words FROM places ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256
+FROM planted LEFT JOIN digests USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register(RUNS_SQL)
+def op13_periodic_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    h = remainder(docs["doc_id"], 1 << 32)
+    docs = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, blank_words(docs["text"])).alias("words"))
+    docs = docs.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    period = 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    docs = docs.withColumn("p", period)
+    repeated = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(w))
+    text = F.when(F.col("n") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))
+    found = periodic_runs.find_runs(docs, text=text)
+    # the greatest exact quotient: compared as fractions, ties to the earlier start, then the shorter period
+    best = F.expr(
+        "aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>),"
+        " (b, r) -> CASE WHEN b IS NULL OR r.length * b.period > b.length * r.period THEN r ELSE b END)"
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
