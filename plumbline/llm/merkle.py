@@ -93,6 +93,7 @@ def levels(leaves: DataFrame, arity: int = ARITY) -> list[DataFrame]:
     columns of the leaves.
     """
     made, nodes = [], leaves
+    most = leaves.agg(F.max("of")).first()[0] or 0
     while True:
         joined = with_siblings(nodes, arity)
         left = right = F.lit(b"")
@@ -101,11 +102,11 @@ def levels(leaves: DataFrame, arity: int = ARITY) -> list[DataFrame]:
             left = F.when(here, _together(range(arity - s, arity), arity)).otherwise(left)
             right = F.when(here, _together(range(1, arity - s), arity)).otherwise(right)
         made.append(stage(joined.select(*nodes.columns, left.alias("left"), right.alias("right")), "level"))
-        inner = made[-1].where("of > 1")
-        if not inner.limit(1).count():
+        if most <= 1:
             return made
+        most = -(-most // arity)
         # The rows in slot zero have their whole run beside them
-        nodes = inner.where(F.col("at") % arity == 0).select(
+        nodes = made[-1].where((F.col("of") > 1) & (F.col("at") % arity == 0)).select(
             "grp",
             F.floor(F.col("at") / arity).alias("at"),
             F.ceil(F.col("of") / arity).alias("of"),
