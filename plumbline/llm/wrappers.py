@@ -352,7 +352,7 @@ class Sequence:
         self.signs: list[str] = []
         self.does: list = []
         self.follow: list[set[int]] = []
-        _, self.first, self.last = self._walk(items, inside)
+        self.empty, self.first, self.last = self._walk(items, inside)
         self.of: dict[str, list[int]] = {}
         for place, sign in enumerate(self.signs):
             self.of.setdefault(sign, []).append(place)
@@ -391,38 +391,38 @@ class Sequence:
             empty = empty and none
         return empty, first, last
 
-    def places(self, labels: list[str]) -> list[int | None]:
-        """The place of each child: a way through the automaton, earlier places first."""
-        if all(len(self.of.get(s, ())) == 1 for s in set(labels)):
-            return [self.of[s][0] for s in labels]
-        reached: list[set[int]] = []
-        allowed = self.first
-        for s in labels:
-            here = set(self.of.get(s, ()))
-            reached.append(here & allowed or here)
-            allowed = set().union(*(self.follow[p] for p in reached[-1])) if here else allowed
-        found: list[int | None] = []
-        wanted = self.last
-        for here in reversed(reached):
-            found.append(min(here & wanted or here, default=None))
-            if here:
-                wanted = {p for p in range(len(self.signs)) if found[-1] in self.follow[p]}
-        return found[::-1]
+    def _ways(self, children: list) -> list[set[int]]:
+        """The places that each child can have, given those before it and what it holds."""
+        reached, allowed = [], self.first
+        for child in children:
+            here = {p for p in self.of.get(child[0], ()) if p in allowed and self._fits(p, child)}
+            allowed = set().union(*(self.follow[p] for p in here))
+            reached.append(here)
+        return reached
+
+    def _fits(self, place: int, child: tuple) -> bool:
+        inner = self.does[place]
+        return not isinstance(inner, Sequence) or inner.accepts(child[1])
 
     def accepts(self, children: list) -> bool:
         """Whether the children, and theirs, match the expression (elements that are left out are not looked into)."""
-        allowed, empty = self.first, not children
-        place = None
-        for child, place in zip(children, self.places([c[0] for c in children])):
-            if place is None or place not in allowed:
-                return False
-            if isinstance(self.does[place], Sequence) and not self.does[place].accepts(child[1]):
-                return False
-            allowed = self.follow[place]
-        return empty or place in self.last
+        return bool(self._ways(children)[-1] & self.last) if children else self.empty
+
+    def places(self, children: list) -> list[int | None]:
+        """The place of each child: a way through the automaton, earlier places first; None for what is in no page the wrapper knows."""
+        if all(len(self.of.get(c[0], ())) == 1 for c in children):
+            return [self.of[c[0]][0] for c in children]
+        reached = self._ways(children)
+        if not reached[-1] & self.last:
+            return [self.of.get(c[0], [None])[0] for c in children]
+        found, wanted = [], self.last
+        for here in reversed(reached):
+            found.append(min(here & wanted))
+            wanted = {p for p, after in enumerate(self.follow) if found[-1] in after}
+        return found[::-1]
 
     def texts(self, children: list, found: dict[int, list[str]]) -> None:
-        for child, place in zip(children, self.places([c[0] for c in children])):
+        for child, place in zip(children, self.places(children)):
             does = 1 if place is None and child[0] == "#" else None if place is None else self.does[place]
             if isinstance(does, Sequence):
                 does.texts(child[1], found)
