@@ -4,6 +4,9 @@ Each kind of report is an append-only Parquet table, partitioned by the data set
 latest report of a data set reads that data set's partition only. A report is one row of JSON texts
 with an entry per column. The values a comparison found new or missing have no such bound: they are
 kept as rows of a table of their own, under the report's id.
+
+Column states lie in a folder per data set and day. The profile of any span of days is a merge of its
+states, so a new day means a scan of that day's rows only.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from datetime import date, datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.column_states import STATE, merge_states
+
 PROFILE_FIELDS = "id string, timestamp timestamp, summary string, column_profiles string, created_at timestamp"
 ANOMALY_FIELDS = (
     "id string, comparison_date date, summary string, column_anomalies string, new_values string,"
@@ -120,3 +125,22 @@ def latest_profile(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 def latest_anomalies(spark: SparkSession, path: str, dataset: str) -> DataFrame:
     stored = read_anomalies(spark, path).where(F.col("dataset_name") == dataset)
     return latest_per_key(stored, "dataset_name", ["comparison_date", "created_at", "id"])
+
+
+def store_states(states: DataFrame, path: str, dataset: str, day: date) -> None:
+    """Keep the column states of a day's rows; those of a day that is stored again are replaced."""
+    kept = states.withColumns({"dataset_name": F.lit(dataset), "day": F.lit(day).cast("date")})
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_name", "day").parquet(path)
+
+
+def read_states(spark: SparkSession, path: str, dataset: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """The stored column states of a data set, with their ``day``, from the first to the last day; only their folders are read."""
+    stored = spark.read.schema(f"{STATE}, dataset_name string, day date").parquet(path).where(F.col("dataset_name") == dataset)
+    for bound, keep in ((first, F.col("day") >= F.lit(first).cast("date")), (last, F.col("day") <= F.lit(last).cast("date"))):
+        stored = stored.where(keep) if bound is not None else stored
+    return stored.drop("dataset_name")
+
+
+def merged_states(spark: SparkSession, path: str, dataset: str, first: date | None = None, last: date | None = None) -> DataFrame:
+    """One state per column of all rows of these days."""
+    return merge_states(read_states(spark, path, dataset, first, last).drop("day"))
