@@ -20,6 +20,8 @@ give a row of their own. Other columns are left out, whatever their names. An em
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +35,7 @@ from plumbline.llm.common import shipped
 EXPONENT = 4
 MIN_LENGTH = 6
 #: Words that are worked on at once; a longer text makes a batch by itself.
-BATCH_WORDS = 1 << 19
+BATCH_WORDS = 1 << 17
 
 RUN = StructType([StructField(n, LongType()) for n in ("start", "length", "period")])
 FOUND = StructType([StructField("n_words", LongType()), StructField("runs", ArrayType(RUN)), StructField("collapsed", StringType())])
@@ -91,30 +93,39 @@ def runs_in(words: np.ndarray, min_length: int, exponent: int) -> list[tuple[int
     return sorted(found)
 
 
-def found_in(texts: list[bytes | None], min_length: int, exponent: int):
+def batches(texts: Iterable[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """The words of the texts, as many texts at once as hold ``BATCH_WORDS``, one at least."""
+    held, size = [], 0
+    for text in texts:
+        # split() of bytes knows the blanks 0x20 and 0x09 to 0x0D only
+        held.append((text or b"").split())
+        size += len(held[-1])
+        if size >= BATCH_WORDS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def found_in(texts: Iterable[bytes | None], min_length: int, exponent: int) -> Iterator[tuple[int, list[tuple[int, int, int]], bytes]]:
     """``n_words, runs, collapsed`` of each text, in batches of documents."""
-    # split() of bytes knows the blanks 0x20 and 0x09 to 0x0D only
-    split = [(t or b"").split() for t in texts]
-    sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-    batch = (np.cumsum(sizes) - sizes) // BATCH_WORDS
-    for b in np.unique(batch):
-        chosen = np.flatnonzero(batch == b)
-        words = [w for d in chosen for w in split[d]]
-        ends = np.cumsum(sizes[chosen])
-        codes = pd.factorize(np.array(words, dtype=object))[0].astype(np.int64) if words else np.zeros(0, dtype=np.int64)
-        codes += np.repeat(np.arange(len(chosen)), sizes[chosen]) * (codes.max(initial=0) + 1)
-        runs: list[list[tuple[int, int, int]]] = [[] for _ in chosen]
+    for split in batches(texts):
+        sizes = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        ends = np.cumsum(sizes)
+        codes = pd.factorize(np.array([w for words in split for w in words] or [b""], dtype=object))[0][: ends[-1]].astype(np.int64)
+        codes += np.repeat(np.arange(len(split)), sizes) * (codes.max(initial=0) + 1)
+        runs: list[list[tuple[int, int, int]]] = [[] for _ in split]
         for start, length, period in runs_in(codes, min_length, exponent):
             d = int(np.searchsorted(ends, start, side="right"))
-            runs[d].append((start - int(ends[d] - sizes[chosen[d]]), length, period))
-        for d, inside in zip(chosen, runs):
-            kept = split[d]
+            runs[d].append((start - int(ends[d] - sizes[d]), length, period))
+        for words, inside in zip(split, runs):
+            n = len(words)
             if inside:
-                drop = np.zeros(len(kept), dtype=bool)
+                drop = np.zeros(n, dtype=bool)
                 for start, length, period in inside:
                     drop[start + period : start + length] = True
-                kept = [w for w, gone in zip(kept, drop.tolist()) if not gone]
-            yield int(sizes[d]), inside, b" ".join(kept)
+                words = [w for w, gone in zip(words, drop.tolist()) if not gone]
+            yield n, inside, b" ".join(words)
 
 
 def finder(min_length: int = MIN_LENGTH, exponent: int = EXPONENT):
@@ -123,7 +134,7 @@ def finder(min_length: int = MIN_LENGTH, exponent: int = EXPONENT):
 
     @F.arrow_udf(FOUND)
     def find(text: pa.Array) -> pa.Array:
-        sizes, runs, collapsed = zip(*found_in(text.cast(pa.binary()).to_pylist(), min_length, exponent)) if len(text) else ((), (), ())
+        sizes, runs, collapsed = zip(*found_in((t.as_py() for t in text.cast(pa.binary())), min_length, exponent)) if len(text) else ((), (), ())
         offsets = np.cumsum([0, *map(len, runs)])
         flat = np.array([r for inside in runs for r in inside], dtype=np.int64).reshape(-1, 3)
         listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(flat[:, i]) for i in range(3)], ["start", "length", "period"]))
