@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, rounded, table
 from plumbline.operators import drift
+from plumbline.plans.comparison import comparison
 
 CUT = "2024-01-16"
 BEFORE, NOW = (f"(SELECT * FROM events WHERE ts {op} TIMESTAMP '{CUT}')" for op in ("<", ">="))
@@ -89,3 +90,38 @@ def drift_categories(spark, sf_dir):
 def drift_distribution(spark, sf_dir):
     moved = drift.drift_distribution(*_events(spark, sf_dir), threshold=0.05)
     return rounded(moved, ["previous_percentage", "current_percentage", "difference"])
+
+
+# Two snapshots of the documents that share a third of them.
+OLD_DOCUMENTS, NEW_DOCUMENTS = (f"(SELECT * FROM documents WHERE doc_id % 3 <> {k})" for k in (0, 1))
+
+
+@query(
+    "drift_texts",
+    f"""SELECT 'text' AS "column", v AS category, CASE WHEN p.n IS NULL THEN 'new' ELSE 'missing' END AS change
+    FROM {_counts("text", OLD_DOCUMENTS)} p FULL JOIN {_counts("text", NEW_DOCUMENTS)} c USING (v) WHERE p.n IS NULL OR c.n IS NULL""",
+)
+def drift_texts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return drift.drift_categories(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 <> 1"), ["text"])
+
+
+_COMPARED = f"""
+SELECT 'columns' AS part, 'details' AS "column", 'values' AS item, NULL::DOUBLE AS "before", count(props)::DOUBLE AS "now", 'new' AS change FROM {NOW}
+UNION ALL SELECT 'columns', 'props', 'values', NULL, count(props)::DOUBLE, 'missing' FROM {BEFORE}
+UNION ALL SELECT 'numeric', "column", stat, round(p.x, 4), round(c.x, 4), printf('%.2f', abs((c.x - p.x) / p.x) * 100)
+    FROM ({_figures(BEFORE)}) p JOIN ({_figures(NOW)}) c USING ("column", stat) WHERE p.x <> 0 AND abs((c.x - p.x) / p.x) > 0.05
+""" + "".join(
+    f"""UNION ALL SELECT 'categories', '{c}', CAST(v AS VARCHAR), NULL, NULL, CASE WHEN p.n IS NULL THEN 'new' ELSE 'missing' END
+    FROM {_counts(c, BEFORE)} p FULL JOIN {_counts(c, NOW_RENAMED)} c USING (v) WHERE p.n IS NULL OR c.n IS NULL
+UNION ALL SELECT 'distribution', '{c}', CAST(v AS VARCHAR), round(b * 100, 4), round(a * 100, 4), printf('%.2f', (a - b) * 100) FROM (
+    SELECT v, p.n::DOUBLE / (SELECT count(*) FROM {BEFORE}) AS b, c.n::DOUBLE / (SELECT count(*) FROM {NOW}) AS a
+    FROM {_counts(c, BEFORE)} p JOIN {_counts(c, NOW_RENAMED)} c USING (v)) WHERE abs(a - b) > 0.05
+"""
+    for c in ("ts", "event_type")
+)
+
+
+@query("comparison", _COMPARED)
+def whole_comparison(spark, sf_dir):
+    return rounded(comparison(*_events(spark, sf_dir), threshold=0.05), ["before", "now"], 4)

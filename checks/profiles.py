@@ -93,28 +93,41 @@ def value_counts_documents(spark, sf_dir):
     return frequencies.value_counts(table(spark, sf_dir, "documents"))
 
 
-@query(
-    "top_values",
-    each(
-        LINEITEM,
+def _top_sql(columns, source, k=10):
+    return each(
+        columns,
         lambda c: f"""SELECT * FROM (SELECT '{c}' AS "column",
         CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS "rank", CAST({c} AS VARCHAR) AS value,
-        count(*) AS "count", round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lineitem), 2) AS percentage
-        FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}) WHERE "rank" <= 10""",
-    ),
-)
+        count(*) AS "count", round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM {source}), 2) AS percentage
+        FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE "rank" <= {k}""",
+    )
+
+
+@query("top_values", _top_sql(LINEITEM, "lineitem"))
 def top_values(spark, sf_dir):
     return frequencies.top_values(table(spark, sf_dir, "lineitem"))
 
 
-@query(
-    "sample_values",
-    each(
-        ORDERS,
+@query("top_values_documents", _top_sql(DOCUMENTS, "documents"))
+def top_values_documents(spark, sf_dir):
+    return frequencies.top_values(table(spark, sf_dir, "documents"))
+
+
+def _samples_sql(columns, source):
+    return each(
+        columns,
         lambda c: f"""SELECT '{c}' AS "column", string_agg(CAST(v AS VARCHAR), '|' ORDER BY v) AS samples
-        FROM (SELECT DISTINCT {c} AS v FROM {GAPPY} WHERE {c} IS NOT NULL ORDER BY v LIMIT 10)""",
-    ),
-)
+        FROM (SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL ORDER BY v LIMIT 10)""",
+    )
+
+
+@query("sample_values_documents", _samples_sql(DOCUMENTS, "documents"))
+def sample_values_documents(spark, sf_dir):
+    samples = frequencies.sample_values(table(spark, sf_dir, "documents"))
+    return samples.withColumn("samples", F.array_join("samples", "|"))
+
+
+@query("sample_values", _samples_sql(ORDERS, GAPPY))
 def sample_values(spark, sf_dir):
     samples = frequencies.sample_values(gappy_orders(spark, sf_dir))
     return samples.withColumn("samples", F.array_join("samples", "|"))
@@ -215,25 +228,35 @@ def high_variance(spark, sf_dir):
     return rounded(correlation.high_variance(table(spark, sf_dir, "lineitem")), ["variance"], 2)
 
 
-@query(
-    "category_entropy",
-    each(
-        ["o_orderstatus", "o_orderpriority"],
+def _categories_sql(columns, source):
+    return each(
+        columns,
         lambda c: f"""SELECT '{c}' AS "column", count(*) AS unique_values,
         round(-sum(n::DOUBLE / total * log2(n::DOUBLE / total)), 6) AS distribution_entropy,
         (SELECT string_agg(v || ':' || n, '|' ORDER BY n DESC, v) FROM
-          (SELECT {c} AS v, count(*) AS n FROM {GAPPY} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 3))
+          (SELECT {c} AS v, count(*) AS n FROM {source} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY n DESC, v LIMIT 3))
           AS most_common
-        FROM (SELECT {c} AS v, count(*) AS n, (SELECT count(*) FROM {GAPPY}) AS total FROM {GAPPY}
+        FROM (SELECT {c} AS v, count(*) AS n, (SELECT count(*) FROM {source}) AS total FROM {source}
           WHERE {c} IS NOT NULL GROUP BY {c})""",
-    ),
-)
-def category_entropy(spark, sf_dir):
-    found = frequencies.category_statistics(gappy_orders(spark, sf_dir))
+    )
+
+
+def _categories(df):
+    found = frequencies.category_statistics(df)
     shown = F.transform("most_common", lambda s: F.concat(s["value"], F.lit(":"), s["count"].cast("string")))
     return rounded(found.withColumn("most_common", F.array_join(shown, "|")), ["distribution_entropy"])
 
 
+@query("category_entropy", _categories_sql(["o_orderstatus", "o_orderpriority"], GAPPY))
+def category_entropy(spark, sf_dir):
+    return _categories(gappy_orders(spark, sf_dir))
+
+
+@query("category_entropy_documents", _categories_sql(["text", "lang", "source"], "documents"))
+def category_entropy_documents(spark, sf_dir):
+    return _categories(table(spark, sf_dir, "documents"))
+
+
 _ROWS = f"SELECT {', '.join(ORDERS)}, count(*) AS n FROM {GAPPY} GROUP BY ALL"
 _EMPTY = " + ".join(f"({c} IS NULL)::INT" for c in ORDERS)
 
@@ -279,6 +302,27 @@ def column_profile_query(spark, sf_dir):
     return rounded(profile, ["mean", "std", "min", "max", "q25", "q50", "q75"], 4)
 
 
+_SHOWN = "string_agg(value || ':' || \"count\" || ':' || printf('%.2f', percentage), '|' ORDER BY \"rank\")"
+
+
+@query(
+    "column_profile_documents",
+    f"""SELECT p.*, t.top_values FROM ({each(
+        DOCUMENTS,
+        lambda c: f"""SELECT '{c}' AS name, '{"bigint" if c in ("doc_id", "n_chars") else "string"}' AS type, count(*) AS "count",
+        count(*) - count({c}) AS missing, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct,
+        count(DISTINCT {c}) AS "unique", round(count(DISTINCT {c}) * 100.0::DOUBLE / count(*), 2) AS unique_pct,
+        {f"{_stats(c, 4)}, {_quartiles(c, 4)}" if c in ("doc_id", "n_chars") else _NO_NUMBERS} FROM documents""",
+    )}) p JOIN (SELECT "column" AS name, {_SHOWN} AS top_values FROM ({_top_sql(DOCUMENTS, "documents", 5)}) GROUP BY 1) t USING (name)""",
+)
+def column_profile_documents(spark, sf_dir):
+    """With the most frequent values of each column, of whole texts too."""
+    profile = column_profile(table(spark, sf_dir, "documents"), top=5)
+    shown = F.transform("top_values", lambda v: F.format_string("%s:%d:%.2f", v["value"], v["count"], v["percentage"]))
+    profile = profile.withColumn("top_values", F.array_join(shown, "|"))
+    return rounded(profile, ["mean", "std", "min", "max", "q25", "q50", "q75"], 4)
+
+
 @query(
     "table_shape",
     """SELECT count(*) AS "rows", 11::BIGINT AS columns, '"""

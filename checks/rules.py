@@ -135,6 +135,9 @@ PAIRS = [
     "CASE WHEN l_linenumber = 2 THEN NULL ELSE l_shipdate END AS sent",
     "CASE WHEN l_linenumber < 4 THEN NULL ELSE l_tax END AS a",
     "CASE WHEN l_linenumber < 3 THEN NULL ELSE l_tax END AS b",
+    # texts of which one in seven reads as a number
+    "CASE l_linenumber WHEN 1 THEN '5' WHEN 2 THEN 'abc' WHEN 3 THEN 'q' ELSE l_returnflag END AS word",
+    "CASE l_linenumber WHEN 1 THEN '5.0' WHEN 2 THEN 'xyz' WHEN 3 THEN NULL ELSE l_returnflag END AS other",
 ]
 PAIRS_SQL = derived_sql("lineitem", PAIRS)
 
@@ -157,9 +160,72 @@ rule_query(
         (rules.PAIR_EQUAL, {"column_A": "shipped", "column_B": "sent"}, _either("shipped", "sent"), "shipped = sent"),
         (rules.PAIR_EQUAL, {"column_A": "a", "column_B": "b"}, _either("a", "b"), "a = b"),
         (rules.PAIR_EQUAL, {"column_A": "shipped", "column_B": "a"}, _either("shipped", "a"), "false"),
+        (rules.PAIR_EQUAL, {"column_A": "word", "column_B": "other"}, _either("word", "other"), "word = other OR (word = '5' AND other = '5.0')"),
+        (rules.PAIR_EQUAL, {"column_A": "l_quantity", "column_B": "word"}, "true", "l_quantity = TRY_CAST(word AS DOUBLE)"),
     ],
 )
 
+# Sets that are frames: values of another table.
+_MEMBERS = """(SELECT *, l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) AS known_part,
+    l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS known_supplier FROM lineitem)"""
+_SAID = "(SELECT *, text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS known FROM documents)"
+
+
+@query(
+    "rule_in_frame",
+    "\nUNION ALL\n".join(
+        [
+            result_sql(_MEMBERS, "r1", rules.IN_SET, "l_partkey", "l_partkey IS NOT NULL", "known_part"),
+            result_sql(_MEMBERS, "r2", rules.IN_SET, "l_suppkey", "l_suppkey IS NOT NULL", "known_supplier", 0.5),
+            result_sql(_MEMBERS, "r3", rules.IN_SET, "l_returnflag", "l_returnflag IS NOT NULL", "false"),
+            result_sql(_SAID, "r4", rules.IN_SET, "text", "text IS NOT NULL", "known"),
+        ]
+    ),
+)
+def rule_in_frame(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_size <= 25").select("p_partkey")
+    suppliers = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
+    documents = table(spark, sf_dir, "documents")
+
+    def of(rule_id, column, values, **more):
+        return {"expectation_type": rules.IN_SET, "rule_id": rule_id, "kwargs": {"column": column, "value_set": values, **more}}
+
+    listed = [of("r1", "l_partkey", part), of("r2", "l_suppkey", suppliers, mostly=0.5), of("r3", "l_returnflag", part)]
+    texts = rules.validate(documents, [of("r4", "text", documents.where("doc_id % 2 = 0").select("text"))])
+    return rules.validate(table(spark, sf_dir, "lineitem"), listed).union(texts)
+
+
+@query(
+    "rule_unexpected_values",
+    f"""SELECT 'r1' AS rule_id, 'o_totalprice' AS "column", CAST(o_totalprice AS VARCHAR) AS value, count(*) AS "count" FROM {GAPPY}
+    WHERE o_totalprice > 400000 GROUP BY o_totalprice
+    UNION ALL SELECT 'r2', 'o_orderpriority', o_orderpriority, count(*) FROM {GAPPY} WHERE o_orderpriority NOT LIKE '%M%' GROUP BY ALL
+    UNION ALL SELECT 'r3', 'o_custkey', CAST(o_custkey AS VARCHAR), count(*) FROM {GAPPY} WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1
+    UNION ALL SELECT 'r4', 'o_orderkey', CAST(o_orderkey AS VARCHAR), count(*) FROM {GAPPY} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity < 25) GROUP BY ALL""",
+)
+def rule_unexpected_values(spark, sf_dir):
+    """The values that fail, with how often they do."""
+    small = table(spark, sf_dir, "lineitem").where("l_quantity < 25").select("l_orderkey")
+    listed = [
+        {"rule_id": "r1", "expectation_type": rules.BETWEEN, "column": "o_totalprice", "max_value": 400000},
+        {"rule_id": "r2", "expectation_type": rules.MATCH, "column": "o_orderpriority", "regex": "M"},
+        {"rule_id": "r3", "expectation_type": rules.UNIQUE, "column": "o_custkey"},
+        {"rule_id": "r4", "expectation_type": rules.IN_SET, "column": "o_orderkey", "value_set": small},
+    ]
+    return rules.unexpected_values(gappy_orders(spark, sf_dir), listed)
+
+
+@query(
+    "rule_dates_in_a_format",
+    result_sql("orders", "r1", rules.PAIR_EQUAL, "written", "true", "o_orderdate < TIMESTAMP '1995-01-01'"),
+)
+def rule_dates_in_a_format(spark, sf_dir):
+    """Days before months, as the rule says; from 1995 on the other column is a day off."""
+    orders = table(spark, sf_dir, "orders")
+    shown = orders.selectExpr("*", "date_format(o_orderdate, 'dd/MM/yyyy') AS written", "date_format(o_orderdate + CASE WHEN o_orderdate < TIMESTAMP_NTZ '1995-01-01' THEN INTERVAL '0' DAY ELSE INTERVAL '1' DAY END, 'dd/MM/yyyy') AS meant")
+    rule = {"rule_id": "r1", "expectation_type": rules.PAIR_EQUAL, "kwargs": {"column_A": "written", "column_B": "meant"}, "meta": {"date_format": "%d/%m/%Y"}}
+    return rules.validate(shown, [rule])
+
 EXPRESSION_RULES = rule_query(
     "rule_expr_equal",
     _given("part"),

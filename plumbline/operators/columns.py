@@ -67,15 +67,32 @@ def value(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
-# Longer texts are grouped by their digest. A digest is longer than this itself, so it equals no text kept as it is.
+# Longer texts are grouped by their first characters and their digest. Such a key is longer than this itself, so it equals
+# no text kept as it is.
 LONG_TEXT = 64
+PREFIX = 32
+
+
+def prefix(c: Column) -> Column:
+    """The first characters of a text or of its key: in the order of the texts, but for those that agree in them."""
+    return F.left(c, F.lit(PREFIX))
+
+
+def is_long(c: Column) -> Column:
+    """Whether a text is known by a key, or a key stands for a text."""
+    return F.octet_length(c) > LONG_TEXT
+
+
+def text_key(c: Column) -> Column:
+    """A text as a grouping key of bounded width: itself, or if it is long its beginning and its SHA-256 digest."""
+    return F.when(is_long(c), F.concat(prefix(c), F.lit("sha2:"), F.sha2(c, 256))).otherwise(c)
 
 
 def bounded(df: DataFrame, name: str) -> Column:
     """A column's values as grouping keys of bounded width.
 
-    Texts over 64 bytes, and arrays and structs whose JSON is longer, are replaced by their SHA-256 digest, so counting how many differ ships a
-    short key for each instead of the whole text.
+    Texts over 64 bytes, and arrays and structs whose JSON is longer, are replaced by their beginning and their SHA-256 digest,
+    so counting how many differ ships a short key for each instead of the whole text.
     """
     c = value(df, name)
     if isinstance(type_of(df, name), T.BinaryType):
@@ -84,7 +101,7 @@ def bounded(df: DataFrame, name: str) -> Column:
         c = F.to_json(c)
     elif not isinstance(type_of(df, name), TEXT + (T.MapType, T.VariantType)):
         return c
-    return F.when(F.octet_length(c) > LONG_TEXT, F.concat(F.lit("sha2:"), F.sha2(c, 256))).otherwise(c)
+    return text_key(c)
 
 
 def as_text(kind: T.DataType, c: Column) -> Column:

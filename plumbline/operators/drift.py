@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.columns import as_text, numeric_columns, pick, stack, type_of, value
-from plumbline.operators.frequencies import row_total
+from plumbline.operators.columns import TEXT, as_text, is_long, numeric_columns, pick, stack, text_key, type_of, value
+from plumbline.operators.frequencies import KEYS, fetched, row_total
 from plumbline.operators.measures import null_profile, numeric_stats
 
 THRESHOLD = 0.1
@@ -83,25 +84,51 @@ def drift_numeric(
     )
 
 
-def _both_sides(previous: DataFrame, current: DataFrame, name: str) -> DataFrame:
-    """``value, before, now`` for each non-null value of a column, one grouping for both snapshots.
+def _text_like(previous: DataFrame, current: DataFrame, name: str) -> bool:
+    """Whether the column's values are compared as texts: they are texts, or of different types."""
+    kinds = type_of(previous, name), type_of(current, name)
+    return kinds[0] != kinds[1] or isinstance(kinds[0], TEXT)
 
-    The two sides are put under each other and counted together: no join, and a value that fills much
-    of a snapshot combines on the map side.
-    """
+
+def _under_each_other(previous: DataFrame, current: DataFrame, name: str) -> DataFrame:
+    """``value, is_now`` of both snapshots; of different types, as text."""
     as_is = type_of(previous, name) == type_of(current, name)
 
     def side(df: DataFrame, is_now: int) -> DataFrame:
         c = value(df, name)
         return df.select((c if as_is else as_text(type_of(df, name), c)).alias("value"), F.lit(is_now).alias("is_now"))
 
-    return (
-        side(previous, 0)
-        .unionAll(side(current, 1))
-        .where("value is not null")
-        .groupBy("value")
-        .agg(F.sum(1 - F.col("is_now")).alias("before"), F.sum("is_now").alias("now"))
-    )
+    return side(previous, 0).unionAll(side(current, 1)).where("value is not null")
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("value").agg(F.sum(1 - F.col("is_now")).alias("before"), F.sum("is_now").alias("now"))
+
+
+def _both_sides(previous: DataFrame, current: DataFrame, name: str) -> DataFrame:
+    """``value, before, now`` for each non-null value of a column, one grouping for both snapshots and all that is read off it.
+
+    The two sides are put under each other and counted together: no join, and a value that fills much
+    of a snapshot combines on the map side. Long texts are counted by a key.
+    """
+    rows = _under_each_other(previous, current, name)
+    return _sides(_keyed(rows) if _text_like(previous, current, name) else rows)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("value", text_key(F.col("value")))
+
+
+def _picked(previous: DataFrame, current: DataFrame, name: str, wanted: Column, at_most: int = KEYS) -> DataFrame:
+    """The rows of :func:`_both_sides` for which ``wanted`` holds, a condition on ``before`` and ``now``, with their whole texts."""
+    groups = _both_sides(previous, current, name)
+    if not _text_like(previous, current, name):
+        return groups.where(wanted)
+    # the counts are part of the conditions, so that they stay above the grouping
+    long = is_long(F.col("value")) & (F.col("before") + F.col("now") > 0)
+    keys = groups.where(F.when(long, wanted)).select(F.col("value").alias("key"))
+    rows = _under_each_other(previous, current, name).where(is_long(F.col("value"))).withColumn("key", text_key(F.col("value")))
+    return groups.where(F.when(~long, wanted)).unionByName(_sides(fetched(rows, keys, at_most)).where(wanted))
 
 
 def _shown(previous: DataFrame, current: DataFrame, name: str) -> Column:
@@ -117,9 +144,7 @@ def drift_categories(previous: DataFrame, current: DataFrame, columns: Sequence[
         return previous.sparkSession.createDataFrame([], "column string, category string, change string")
     return stack(
         [
-            _both_sides(previous, current, name)
-            .where((F.col("before") == 0) | (F.col("now") == 0))
-            .select(
+            _picked(previous, current, name, (F.col("before") == 0) | (F.col("now") == 0)).select(
                 F.lit(name).alias("column"),
                 _shown(previous, current, name).alias("category"),
                 F.when(F.col("before") == 0, "new").otherwise("missing").alias("change"),
@@ -145,18 +170,17 @@ def drift_distribution(
         )
     rows_before, rows_now = row_total(previous), row_total(current)
     before, now = F.try_divide(F.col("before"), rows_before), F.try_divide(F.col("now"), rows_now)
+    moved = (F.col("before") > 0) & (F.col("now") > 0) & (F.abs(now - before) > threshold)
+    # shares add up to one on either side: no more values than this can move by the threshold
+    most = math.ceil(2 / threshold)
     return stack(
         [
-            _both_sides(previous, current, name)
-            .where((F.col("before") > 0) & (F.col("now") > 0))
-            .select("value", before.alias("before"), now.alias("now"))
-            .where(F.abs(F.col("now") - F.col("before")) > threshold)
-            .select(
+            _picked(previous, current, name, moved, most).select(
                 F.lit(name).alias("column"),
                 _shown(previous, current, name).alias("category"),
-                (F.col("before") * 100).alias("previous_percentage"),
-                (F.col("now") * 100).alias("current_percentage"),
-                ((F.col("now") - F.col("before")) * 100).alias("difference"),
+                (before * 100).alias("previous_percentage"),
+                (now * 100).alias("current_percentage"),
+                ((now - before) * 100).alias("difference"),
             )
             for name in others
         ]

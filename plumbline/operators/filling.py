@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import clean_text
 from plumbline.operators.columns import FLOATING, INTEGRAL, col, numeric_columns, of_kind, pick, text_columns, type_of, value
-from plumbline.operators.frequencies import frequency, leading
+from plumbline.operators.frequencies import most_frequent
 from plumbline.operators.measures import null_profile
 from plumbline.operators.quantiles import quantile_values
 
@@ -51,7 +51,7 @@ def mode_of(df: DataFrame, name: str) -> Column:
 
     Grouped and cut to one row by the engine: the built-in ``mode`` keeps all values in one buffer.
     """
-    return leading(frequency(df, name), [F.col("n").desc(), F.col("value").asc()], 1).select("value").scalar()
+    return most_frequent(df, name, 1).select("value").scalar()
 
 
 def impute_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

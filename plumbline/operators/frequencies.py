@@ -5,6 +5,10 @@ Against one unpivoted table of (column, value) this keeps a low-cardinality colu
 sharing a hash map with a near-unique one, turns values into text after grouping instead of before,
 and shuffles typed keys. Grouping combines on the map side, so a value that fills a third of the rows
 travels once per task.
+
+Long texts are counted by a short key (``columns.bounded``). Where a result shows some of them, such as the most
+frequent or the smallest, the keys are ranked first and the texts of those that are left are fetched from the table
+after that. Ties are broken by the whole texts, so all keys that may still win are fetched.
 """
 
 from __future__ import annotations
@@ -15,7 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import percent
-from plumbline.operators.columns import TEXT, as_text, bounded, one_row_each, pick, stack, text_columns, type_of, value
+from plumbline.operators.columns import TEXT, as_text, bounded, is_long, one_row_each, pick, prefix, stack, text_columns, type_of, value
+
+#: Keys whose texts are fetched by broadcast. With more of them all long texts are counted whole.
+KEYS = 10_000
 
 
 def frequency(df: DataFrame, name: str) -> DataFrame:
@@ -65,13 +72,54 @@ def leading(groups: DataFrame, order: list[Column], k: int) -> DataFrame:
     return first.where(F.col("value").isNotNull() & (F.col("n") > 0))
 
 
+def fetched(rows: DataFrame, keys: DataFrame, at_most: int = KEYS) -> DataFrame:
+    """The ``rows`` (``value, key, ...``) that have one of the ``keys`` (column ``key``, each once), to be counted by ``value`` again.
+
+    The keys are broadcast, cut off at ``at_most``. Are there more, all rows are returned instead: the caller filters anyway.
+    """
+    too_many = keys.agg(F.count(F.lit(1)) > at_most).scalar()
+    known = F.broadcast(keys.select("key", F.lit(True).alias("wanted")).limit(at_most))
+    return rows.join(known, "key", "left").where(F.col("wanted") | too_many).drop("key", "wanted")
+
+
+def _long_rows(df: DataFrame, name: str) -> DataFrame:
+    """``value, key`` of the texts that are known by a key."""
+    return df.select(value(df, name).alias("value"), bounded(df, name).alias("key")).where(is_long(F.col("value")))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _edge(groups: DataFrame, order: list[Column], k: int) -> Column:
+    """The rank of the k-th group, as a scalar subquery."""
+    first = leading(groups, order, k).agg(F.array_max(F.collect_list(F.struct(*order))).alias("edge"))
+    return first.scalar()
+
+
+def _not_beyond(rank: Column, edge: Column, kind: Column) -> Column:
+    """Whether a group of this kind ranks no later than the edge. The count is in it, so that this stays above the grouping."""
+    return F.when((F.col("n") > 0) & F.col("value").isNotNull() & kind, rank) <= edge
+
+
+def most_frequent(df: DataFrame, name: str, k: int) -> DataFrame:
+    """``value, n`` of the k most frequent non-null values, ties by value."""
+    order = [F.col("n").desc(), F.col("value").asc()]
+    if not isinstance(type_of(df, name), TEXT):
+        return leading(frequency(df, name), order, k)
+    groups, keys = kind_counts(df, name), [(-F.col("n")).alias("less"), prefix(F.col("value")).alias("prefix")]
+    edge, rank, long = _edge(groups, keys, k), F.struct(*keys), is_long(F.col("value"))
+    shorts = groups.where(_not_beyond(rank, edge, ~long))
+    longs = groups.where(_not_beyond(rank, edge, long)).select(F.col("value").alias("key"))
+    return leading(shorts.unionByName(_counted(fetched(_long_rows(df, name), longs))), order, k)
+
+
 def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """``column, rank, value, count, percentage`` of the k most frequent values, ties by value."""
     total = row_total(df)
-    order = [F.col("n").desc(), F.col("value").asc()]
     tops = []
     for name in pick(df, columns):
-        few = leading(frequency(df, name), order, k)
+        few = most_frequent(df, name, k)
         ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value", _shown(df, name).alias("shown"))))
         tops.append(few.agg(ranked.alias("top")).select(F.lit(name).alias("column"), F.posexplode("top").alias("at", "top")))
     return stack([top.select("column", "at", "top.shown", "top.less") for top in tops]).select(
@@ -86,21 +134,17 @@ def top_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10)
 def smallest_values(df: DataFrame, name: str, k: int) -> DataFrame:
     """``value, n`` of the k smallest distinct values.
 
-    For text the values are not all grouped, which would ship every different text. They are dealt
-    into 8k groups by hash, and the least of each group compared: the k-th of those is no less than
-    the k-th smallest value, so only values up to it take part. With fewer than k groups filled all
-    do. The limit is a plain comparison, which a scan can use to skip row groups.
+    For text the beginning of the k-th smallest key is a limit: only texts that begin no later take part, and only the long ones
+    of them are read again.
     """
     order = [F.col("value").asc()]
     if not isinstance(type_of(df, name), TEXT):
         return leading(frequency(df, name), order, k)
-    values = df.select(value(df, name).alias("value")).where("value is not null")
-    dealt = values.groupBy(F.pmod(F.xxhash64("value"), F.lit(8 * k)))
-    ends = dealt.agg(F.min("value").alias("least"), F.max("value").alias("most"))
-    kth = F.get(F.array_sort(F.collect_list("least")), F.lit(k - 1))
-    limit = ends.agg(F.coalesce(kth, F.max("most")).alias("limit")).scalar()
-    few = values.where(F.col("value") <= limit)
-    return leading(few.groupBy("value").agg(F.count(F.lit(1)).alias("n")), order, k)
+    groups, begins = kind_counts(df, name), prefix(F.col("value"))
+    edge, rank = _edge(groups, [begins.alias("prefix")], k), F.struct(begins.alias("prefix"))
+    shorts = groups.where(_not_beyond(rank, edge, ~is_long(F.col("value"))))
+    longs = df.select(value(df, name).alias("value")).where(is_long(F.col("value")) & (begins <= edge["prefix"]))
+    return leading(shorts.unionByName(_counted(longs)), order, k)
 
 
 def sample_values(df: DataFrame, columns: Sequence[str] | None = None, k: int = 10) -> DataFrame:
@@ -165,20 +209,20 @@ def category_statistics(df: DataFrame, columns: Sequence[str] | None = None, k:
     The entropy is -sum(p*log2 p) over non-null values with p the share of all rows. Written as
     (sum(n)*log2 N - sum(n*log2 n)) / N it needs the frequencies only, not N beforehand.
     """
-    n, order = F.col("n"), [F.col("n").desc(), F.col("value").asc()]
+    n = F.col("n")
     present = F.when(F.col("value").isNotNull(), n)
     total = F.sum(n)
     entropy = F.try_divide(F.sum(present) * F.log2(total) - F.sum(present * F.log2(n)), total)
     parts = []
     for name in text_columns(df, columns):
-        common = leading(frequency(df, name), order, k).agg(
+        common = most_frequent(df, name, k).agg(
             F.transform(
                 F.array_sort(F.collect_list(F.struct((-n).alias("order"), "value"))),
                 lambda s: F.struct(s["value"].alias("value"), (-s["order"]).alias("count")),
             ).alias("most_common")
         )
         parts.append(
-            frequency(df, name).agg(
+            kind_counts(df, name).agg(
                 F.lit(name).alias("column"),
                 F.count("value").alias("unique_values"),
                 # no values at all: an empty sum, not an unknown one

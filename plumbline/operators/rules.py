@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import parse_time_or_serial
 from plumbline.functions.numbers import percent, to_double
 from plumbline.functions.text import BLANK
-from plumbline.operators.columns import NUMERIC, TEMPORAL, TEXT, as_text, bounded, col, one_row_each, pick, stack, type_of, value
+from plumbline.operators.columns import INTEGRAL, NUMERIC, TEMPORAL, TEXT, as_text, bounded, col, one_row_each, pick, stack, type_of, value
 from plumbline.operators.column_types import underscored
 from plumbline.operators.expressions import (
     as_number,
@@ -139,30 +139,25 @@ def _in_set(kind: Any, c: Column, allowed: Iterable[Any]) -> Column:
 
 
 def _pair(df: DataFrame, rule: Rule, kinds: Mapping[str, str]) -> tuple[Column, Column]:
-    """Both sides of an equality rule, as times or numbers by what the columns hold."""
+    """Where an equality rule applies, and whether it holds there.
+
+    Columns that hold times are compared as times. Of other columns a row's cells are compared as numbers if both read as
+    numbers, else as texts. A row is missing only if both its cells are.
+    """
     places, date_format = rule.meta.get("decimal_places"), rule.meta.get("date_format")
     (a,) = pick(df, [rule.kwargs["column_A"]])
     right = _right_side(rule)
-    number_a = as_number(df, a, kinds, places, date_format)
     if _is_expression(df, rule):
-        return number_a, expression(df, right, places, date_format, kinds)
+        left, found = as_number(df, a, kinds, places, date_format), expression(df, right, places, date_format, kinds)
+        return left.isNotNull() | found.isNotNull(), left == found
     (b,) = pick(df, [right])
+    either = value(df, a).isNotNull() | value(df, b).isNotNull()
     times = [is_time(df, n, kinds) for n in (a, b)]
-    if all(times):
-        return as_time(df, a, date_format), as_time(df, b, date_format)
-    if any(times):
-        return _never_equal(df, a, b)
-    plain = [kinds.get(n) == "string" for n in (a, b)]
-    if all(plain):
-        return value(df, a), value(df, b)
-    if any(plain):
-        return _never_equal(df, a, b)
-    return number_a, as_number(df, b, kinds, places, date_format)
-
-
-def _never_equal(df: DataFrame, a: str, b: str) -> tuple[Column, Column]:
-    """Sides of different kinds: they differ wherever both are there."""
-    return F.when(value(df, a).isNotNull(), F.lit(0)), F.when(value(df, b).isNotNull(), F.lit(1))
+    if any(times) and not all(times):
+        return either, F.lit(False)
+    left, found = [as_time(df, n, date_format) if all(times) else as_number(df, n, kinds, places, date_format) for n in (a, b)]
+    as_texts = as_text(type_of(df, a), value(df, a)) == as_text(type_of(df, b), value(df, b))
+    return either, F.when(left.isNotNull() & found.isNotNull(), left == found).otherwise(as_texts)
 
 
 def _right_side(rule: Rule) -> str:
@@ -181,15 +176,14 @@ def _is_expression(df: DataFrame, rule: Rule) -> bool:
 def _row_check(df: DataFrame, rule: Rule, kinds: Mapping[str, str]) -> RowCheck | None:
     """The row test of a rule, or None if the rule is about the table as a whole."""
     kw, kind_of_rule = rule.kwargs, rule.expectation_type
-    if kind_of_rule in (UNIQUE, ROW_COUNT, MEAN_BETWEEN):
+    if kind_of_rule in (UNIQUE, ROW_COUNT, MEAN_BETWEEN) or _by_frame(rule):
         return None
 
     def check(applies: Column, holds: Column) -> RowCheck:
         return RowCheck(rule.rule_id, kind_of_rule, rule.column, applies, holds, kw.get("mostly"))
 
     if kind_of_rule == PAIR_EQUAL:
-        left, right = _pair(df, rule, kinds)
-        return check(left.isNotNull() | right.isNotNull(), left == right)
+        return check(*_pair(df, rule, kinds))
     if "column" not in kw:
         raise ValueError(f"rule {rule.rule_id!r} ({kind_of_rule}) names no column")
     (name,) = pick(df, [kw["column"]])
@@ -285,26 +279,72 @@ def _table_checks(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return one_row_each(df, structs, RESULT)
 
 
-def _unique_check(df: DataFrame, rule: Rule) -> DataFrame:
-    """Rows whose value occurs more than once; copies are counted before they are shuffled."""
-    (name,) = pick(df, [rule.kwargs["column"]])
+def _by_frame(rule: Rule) -> bool:
+    """Whether the allowed values of a rule are the rows of a frame, not a list."""
+    return rule.expectation_type == IN_SET and isinstance(rule.kwargs["value_set"], (DataFrame, Mapping))
+
+
+def _keys(df: DataFrame, rule: Rule, name: str) -> tuple[Column, DataFrame]:
+    """A column's key, and ``allowed``: the keys of a frame's values, each once, broadcast if a count shows that they are few.
+
+    The frame is one itself, of one column, or ``{"table": ..., "column": ...}`` in the catalogue. As in a list, only values of the
+    column's own kind can match: texts texts, numbers numbers.
+    """
+    found = rule.kwargs["value_set"]
+    if isinstance(found, Mapping):
+        found = df.sparkSession.table(found["table"]).select(col(found["column"]))
+    (other,) = found.columns
+    kinds = type_of(df, name), type_of(found, other)
+    key, allowed = (bounded(frame, n) for frame, n in ((df, name), (found, other)))
+    if all(isinstance(k, NUMERIC) for k in kinds):
+        common = "bigint" if all(isinstance(k, INTEGRAL) for k in kinds) else "double"
+        key, allowed = key.cast(common), allowed.cast(common)
+    elif not any(all(isinstance(k, kind) for k in kinds) for kind in (TEXT, TEMPORAL)) and kinds[0] != kinds[1]:
+        allowed = F.lit(None).cast(kinds[0])
+    elif isinstance(kinds[0], TEMPORAL):
+        key, allowed = key.cast("timestamp_ntz"), allowed.cast("timestamp_ntz")
+    keys = found.select(allowed.alias("allowed")).where("allowed IS NOT NULL").distinct()
+    return key, F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def _grouped_check(df: DataFrame, rule: Rule, name: str, groups: DataFrame, fails: Column) -> DataFrame:
+    """The result row of a rule from ``value, n`` and a test of each group."""
     n, present = F.col("n"), F.col("value").isNotNull()
 
     def rows_where(holds: Column) -> Column:
         return F.coalesce(F.sum(F.when(holds, n)), F.lit(0).cast("long"))
 
-    counted = kind_counts(df, name).agg(
+    counted = groups.agg(
         F.lit(rule.rule_id).alias("rule_id"),
         F.lit(rule.expectation_type).alias("expectation_type"),
         F.lit(name).alias("column"),
         F.lit(rule.kwargs.get("mostly")).cast("double").alias("mostly"),
         rows_where(F.lit(True)).alias("rows"),
         rows_where(present).alias("applied"),
-        rows_where(present & (n > 1)).alias("failed"),
+        rows_where(present & fails).alias("failed"),
     )
     return _judged(counted)
 
 
+def _unique_check(df: DataFrame, rule: Rule) -> DataFrame:
+    """Rows whose value occurs more than once; copies are counted before they are shuffled."""
+    (name,) = pick(df, [rule.kwargs["column"]])
+    return _grouped_check(df, rule, name, kind_counts(df, name), F.col("n") > 1)
+
+
+def _frame_check(df: DataFrame, rule: Rule) -> DataFrame:
+    """Rows whose value is in no row of a frame.
+
+    The values are counted before they are joined, so what meets the allowed ones is a row per different value, and a value
+    that a third of the rows have is one of them.
+    """
+    (name,) = pick(df, [rule.kwargs["column"]])
+    key, allowed = _keys(df, rule, name)
+    groups = df.select(key.alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    joined = groups.join(allowed, F.col("value") == F.col("allowed"), "left")
+    return _grouped_check(df, rule, name, joined, F.col("allowed").isNull())
+
+
 def _kinds(df: DataFrame, rules: Sequence[Rule]) -> dict[str, str]:
     """What the text columns of the equality rules hold."""
     used: set[str] = set()
@@ -334,14 +374,15 @@ def validate(df: DataFrame, rules: Any) -> DataFrame:
     parts = [count_checks(df, checks)] if checks else []
     parts += [_table_checks(df, table_rules)] if table_rules else []
     parts += [_unique_check(df, r) for r in rules if r.expectation_type == UNIQUE]
+    parts += [_frame_check(df, r) for r in rules if _by_frame(r)]
     return stack(parts) if parts else df.sparkSession.createDataFrame([], RESULT)
 
 
 def failing_rows(df: DataFrame, rules: Any) -> DataFrame:
     """The rows that fail a row or uniqueness rule, with ``failed_rules`` naming which.
 
-    Row rules need no shuffle. For a uniqueness rule the values that occur more than once, each one row,
-    are joined back to the rows: by broadcast if a count shows that they are few. A rule about the whole
+    Row rules need no shuffle. For a uniqueness rule the values that occur more than once, each one row, and for a set
+    given as a frame its values, are joined to the rows: by broadcast if a count shows that they are few. A rule about the whole
     table has no failing rows and is an error.
     """
     rules = read_rules(rules)
@@ -357,6 +398,11 @@ def failing_rows(df: DataFrame, rules: Any) -> DataFrame:
             again = F.broadcast(again)
         marked = marked.join(again, bounded(df, name) == F.col(f"_again_{i}"), "left")
         marks.append(F.when(F.col(f"_again_{i}").isNotNull(), F.lit(rule.rule_id)))
+    for i, rule in enumerate(r for r in rules if _by_frame(r)):
+        (name,) = pick(df, [rule.kwargs["column"]])
+        key, allowed = _keys(df, rule, name)
+        marked = marked.join(allowed.withColumnRenamed("allowed", f"_allowed_{i}"), key == F.col(f"_allowed_{i}"), "left")
+        marks.append(F.when(key.isNotNull() & F.col(f"_allowed_{i}").isNull(), F.lit(rule.rule_id)))
     failed = F.array_compact(F.array(*marks)).cast("array<string>")
     return marked.select(*[col(c) for c in df.columns], failed.alias("failed_rules")).where(F.size("failed_rules") > 0)
 
@@ -372,6 +418,10 @@ def unexpected_values(df: DataFrame, rules: Any) -> DataFrame:
         if rule.expectation_type == UNIQUE:
             (name,) = pick(df, [rule.kwargs["column"]])
             parts.append((rule.rule_id, name, frequency(df, name).where("value IS NOT NULL AND n > 1")))
+        elif _by_frame(rule):
+            (name,) = pick(df, [rule.kwargs["column"]])
+            key, allowed = _keys(df, rule, name)
+            parts.append((rule.rule_id, name, frequency(df.join(allowed, key == F.col("allowed"), "left_anti").where(key.isNotNull()), name)))
     if not parts:
         return df.sparkSession.createDataFrame([], "rule_id string, column string, value string, count bigint")
     shown = lambda name: as_text(type_of(df, name), F.col("value")).alias("value")
