@@ -298,6 +298,44 @@ def rename_spaces(spark, sf_dir):
     return column_types.rename_spaces(expressions.add_expression(spaced, "twice", "account balance * 2", 2))
 
 
+# Objects, arrays of objects, arrays, numbers and text in one column; the objects' "k" meets that of the arrays.
+SEVERAL_JSON = [
+    "event_id",
+    """CASE event_id % 6 WHEN 0 THEN concat('[{"k": ', event_id, '}, {"k": null, "z": "y"}]') WHEN 1 THEN concat('{"k": ', event_id, ', "s": {"t": "', event_type, '"}}')
+    WHEN 2 THEN '[]' WHEN 3 THEN event_type WHEN 4 THEN CAST(user_id AS VARCHAR(20)) ELSE NULL END AS props""",
+]
+
+
+@query(
+    "flatten_json_mixed",
+    f"""SELECT event_id, CASE WHEN event_id % 6 IN (3, 4) THEN props END AS props_value,
+    CASE WHEN event_id % 6 = 1 THEN event_id END AS props_k, CASE WHEN event_id % 6 = 1 THEN event_type END AS props_s_t,
+    CASE event_id % 6 WHEN 0 THEN event_id || ',null' WHEN 2 THEN '' END AS props_list_k, CASE event_id % 6 WHEN 0 THEN 'null,y' WHEN 2 THEN '' END AS props_list_z
+    FROM (SELECT *, {SEVERAL_JSON[1].replace("concat('[", "concat('[")} FROM (SELECT event_id, user_id, event_type FROM events))""",
+)
+def flatten_json_mixed(spark, sf_dir):
+    flat = nested.flatten_json_text(derived(spark, sf_dir, "events", SEVERAL_JSON), "props")
+    shown = lambda c: F.array_join(F.col(c).cast("array<string>"), ",", "null")
+    return flat.withColumns({c: shown(c) for c in ("props_list_k", "props_list_z")})
+
+
+# Columns whose range does not depend on the size of the data, and keys, whose advice does: their values only.
+ADVISED = ["l_linenumber", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate", "whole"]
+
+
+@query(
+    "apply_advice",
+    """SELECT l_linenumber::SMALLINT AS l_linenumber, l_quantity::SMALLINT AS l_quantity, l_discount::FLOAT AS l_discount, l_tax::FLOAT AS l_tax,
+    l_returnflag, l_linestatus, l_shipdate, (l_linenumber * 1000 - 3000)::SMALLINT AS whole,
+    l_orderkey::BIGINT AS l_orderkey, l_partkey::BIGINT AS l_partkey, l_suppkey::BIGINT AS l_suppkey, round(l_extendedprice, 2)::DOUBLE AS l_extendedprice FROM lineitem""",
+)
+def apply_advice(spark, sf_dir):
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("whole", F.expr("l_linenumber * 1000D - 3000D"))
+    advised = column_types.apply_advice(lineitem)
+    keys = [F.col(k).cast("bigint").alias(k) for k in ("l_orderkey", "l_partkey", "l_suppkey")]
+    return advised.select(*ADVISED, *keys, F.round(F.col("l_extendedprice").cast("double"), 2).alias("l_extendedprice"))
+
+
 @query(
     "json_report_rows",
     """SELECT to_json({'event_id': event_id, 'ts': strftime(ts, '%Y-%m-%dT%H:%M:%S')

@@ -109,6 +109,30 @@ def table_info(spark, sf_dir):
     return tables.table_info(orders).join(F.broadcast(nulls), "name")
 
 
+@query(
+    "scan_csv_folder",
+    f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey || '" pipe, ' || o_orderpriority ELSE o_orderkey || '" pipe' END AS size,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'a "b", c' ELSE 'MacBook  16"' END AS item FROM {GAPPY}""",
+)
+def scan_csv_folder(spark, sf_dir):
+    """Files of two column orders, with inch signs in cells without quotes and commas in cells with them."""
+    path = scratch_path(spark, "folder")
+    orders = gappy_orders(spark, sf_dir).selectExpr(
+        "*",
+        """CASE WHEN o_orderkey % 5 = 0 THEN concat('"', o_orderkey, '"" pipe, ', o_orderpriority, '"') ELSE concat(o_orderkey, '" pipe') END AS size""",
+        """CASE WHEN o_orderkey % 3 = 0 THEN '"a ""b"", c"' ELSE 'MacBook  16"' END AS item""",
+    )
+    columns = ["o_orderkey", "item", "o_custkey", "size", "o_orderstatus", "o_totalprice"]
+    for k in range(8):
+        order = columns if k % 2 else columns[::-1]
+        rows = orders.where(F.pmod("o_orderkey", F.lit(8)) == k)
+        line = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
+        header = spark.range(1).select(F.lit(0).alias("place"), F.lit(",".join(order)).alias("line"))
+        lines = header.union(rows.select(F.lit(1), line)).coalesce(1).sortWithinPartitions("place")
+        lines.select("line").write.mode("append").text(path)
+    return files.scan_csv(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "size", "item")
+
+
 @query("ingest_table", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part UNION ALL SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 def ingest_table(spark, sf_dir):
     """Replace, then append the same file."""

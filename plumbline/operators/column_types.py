@@ -241,6 +241,26 @@ def type_advice(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return stack(parts)
 
 
+def apply_advice(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The frame with its columns in the types that :func:`type_advice` finds for them.
+
+    The advice is found when the frame is built, a row per column. Every cast is checked: a value that its column's new type would
+    not hold (beyond the rounding that the advice allows a float) is an error, as when the rows have changed since.
+    """
+    names = pick(df, columns)
+    kinds = {row["column"]: row["spark_type"] for row in type_advice(df, names).collect()}
+    new = {}
+    for name in names:
+        if kinds[name] == type_of(df, name).simpleString():
+            continue
+        c = value(df, name)
+        cast = c.try_cast(kinds[name])
+        exact = F.abs(c.cast("double") - cast.cast("double")) < FLOAT_TOLERANCE if kinds[name] == "float" else cast.cast(type_of(df, name)) == c
+        lost = F.raise_error(F.concat(F.lit(f"{name} as {kinds[name]} loses "), c.cast("string"))).cast(kinds[name])
+        new[name] = F.when(c.isNull() | F.coalesce(exact, F.lit(False)), cast).otherwise(lost)
+    return df.select(*[new[n].alias(n) if n in new else col(n) for n in df.columns])
+
+
 def underscored(name: str) -> str:
     return name.replace(" ", "_")
 

@@ -104,6 +104,24 @@ def bounded(df: DataFrame, name: str) -> Column:
     return text_key(c)
 
 
+#: Columns of fixed width that are grouped as they are; more, or texts among them, are known by a digest.
+FEW_COLUMNS = 4
+
+
+def row_key(df: DataFrame, names: Sequence[str]) -> Column:
+    """What rows are told apart by: a struct of a few numbers, else the SHA-256 digest of all values, each with its length."""
+    kinds = [type_of(df, name) for name in names]
+    if len(names) <= FEW_COLUMNS and all(isinstance(k, NUMERIC + TEMPORAL + (T.BooleanType,)) for k in kinds):
+        return F.struct(*[value(df, name).alias(f"c{i}") for i, name in enumerate(names)])
+    parts = []
+    for name, kind in zip(names, kinds):
+        c = value(df, name)
+        # zero has one text, whatever its sign
+        text = as_text(kind, c + F.lit(0).cast(kind) if isinstance(kind, FLOATING) else c)
+        parts.append(F.when(text.isNull(), "-").otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)))
+    return F.unhex(F.sha2(F.concat(*parts), 256)) if parts else F.lit(b"")
+
+
 def as_text(kind: T.DataType, c: Column) -> Column:
     """The text shown for a value of the given type."""
     if isinstance(kind, (T.ArrayType, T.StructType)):

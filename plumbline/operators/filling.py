@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import clean_text
-from plumbline.operators.columns import FLOATING, INTEGRAL, col, numeric_columns, of_kind, pick, text_columns, type_of, value
+from plumbline.operators.columns import FLOATING, INTEGRAL, col, numeric_columns, of_kind, pick, row_key, text_columns, type_of, value
 from plumbline.operators.frequencies import most_frequent
 from plumbline.operators.measures import null_profile
 from plumbline.operators.quantiles import quantile_values
@@ -117,10 +117,10 @@ def dedupe_rows(df: DataFrame, id_column: str, columns: Sequence[str] | None = N
         return kept.select(*[col(n) for n in df.columns])
     keys = pick(df, columns)
     # The id orders the struct first, so the smallest struct is the row with the lowest id.
-    rest = [n for n in df.columns if n not in keys and n != id_column]
+    rest = [n for n in df.columns if n != id_column]
     row = F.struct(col(id_column).isNull().alias("no id"), *[col(n) for n in [id_column, *rest]])
-    kept = df.groupBy(*[col(n) for n in keys]).agg(F.min(row).alias("row"))
-    return kept.select(*[col(n) if n in keys else F.col("row").getField(n).alias(n) for n in df.columns])
+    kept = df.select(row_key(df, keys).alias("key"), row.alias("row")).groupBy("key").agg(F.min("row").alias("row"))
+    return kept.select(*[F.col("row").getField(n).alias(n) for n in df.columns])
 
 
 def clip_range(df: DataFrame, column: str, low: float | None = None, high: float | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import percent
-from plumbline.operators.columns import bounded, numeric_columns, one_row_each, pick, value
+from plumbline.operators.columns import numeric_columns, one_row_each, pick, row_key, value
 
 # A column is in the first band above the first share, in the second above the second.
 COMPLETE_ABOVE = 0.9
@@ -54,12 +54,11 @@ def completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def _row_counts(df: DataFrame) -> DataFrame:
     """``n`` copies and ``empty`` cells of each different row. NULL equals NULL here.
 
-    Long texts take part by their digest, so a row is shuffled at a bounded width.
+    A row is known by one key, so what is shuffled does not grow with the columns.
     """
-    keys = [bounded(df, name).alias(f"c{i}") for i, name in enumerate(df.columns)]
-    empty = sum((F.col(f"c{i}").isNull().cast("int") for i in range(len(keys))), F.lit(0))
-    grouped = df.select(*keys).groupBy(*[f"c{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.select("n", empty.alias("empty"))
+    empty = sum((value(df, name).isNull().cast("int") for name in df.columns), F.lit(0))
+    keyed = df.select(row_key(df, df.columns).alias("row"), empty.alias("empty"))
+    return keyed.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.max("empty").alias("empty")).select("n", "empty")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -44,32 +44,59 @@ def flatten(df: DataFrame, columns: Sequence[str] | None = None, sep: str = "_")
     return df.select(*[c.alias(name) for name, c in flat])
 
 
-def json_schema(df: DataFrame, column: str) -> str | None:
-    """The Spark type that holds every JSON object or array in a text column, from all its rows."""
-    variant = F.try_parse_json(col(column))
-    nested = F.schema_of_variant(variant).rlike("^(OBJECT|ARRAY)")
-    found = df.agg(F.schema_of_variant_agg(F.when(nested, variant))).first()[0]
+def _spark_type(found: str | None) -> str | None:
+    """The Spark type for what a variant holds: numbers as doubles, values of several types as text."""
     if found in (None, "VOID"):
         return None
-    if found == "VARIANT":
-        raise ValueError(f"column {column!r} mixes JSON objects and arrays")
-    found = re.sub(r"\bOBJECT<", "STRUCT<", found)
-    return re.sub(r"\bDECIMAL\(\d+,\d+\)", "DOUBLE", re.sub(r"\bVOID\b", "STRING", found))
+    found = re.sub(r"\bOBJECT<", "STRUCT<", re.sub(r"\b(VOID|VARIANT)\b", "STRING", found))
+    return re.sub(r"\bDECIMAL\(\d+,\d+\)", "DOUBLE", found)
+
+
+def _parsed(c: Column) -> tuple[Column, Column, Column]:
+    """A text as a variant, and whether it is an object or an array."""
+    variant = F.try_parse_json(c)
+    shape = F.schema_of_variant(variant)
+    return variant, F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.coalesce(shape.startswith("ARRAY"), F.lit(False))
+
+
+def json_schemas(df: DataFrame, column: str) -> tuple[str | None, str | None]:
+    """The Spark types that hold every JSON object and every JSON array in a text column, from all its rows; None if there are none."""
+    variant, is_object, is_array = _parsed(col(column))
+    parsed = df.select(variant.alias("json"), is_object.alias("object"), is_array.alias("array"))
+    found = parsed.agg(*[F.schema_of_variant_agg(F.when(F.col(kind), F.col("json"))) for kind in ("object", "array")]).first()
+    return _spark_type(found[0]), _spark_type(found[1])
 
 
 def flatten_json_text(df: DataFrame, column: str, schema: str | None = None, sep: str = "_") -> DataFrame:
     """Flatten a column of JSON text like :func:`flatten`; other text goes to ``{column}_value``.
 
-    Without a schema one aggregate over the column finds it.
+    Objects and arrays may be mixed: the fields of objects and what an array gives are columns of their own, null for rows of the
+    other kind. Where both would give a column of the same name, the arrays' begin with ``{column}_list``. The text is parsed
+    once. Without a schema, of objects or arrays, one aggregate over the column finds both.
     """
     (name,) = pick(df, [column])
-    schema = schema or json_schema(df, name)
-    if schema is None:
+    kinds = ([schema, None] if not schema.upper().startswith("ARRAY") else [None, schema]) if schema else json_schemas(df, name)
+    if kinds == (None, None):
         return df
-    is_nested = F.schema_of_variant(F.try_parse_json(col(name))).rlike("^(OBJECT|ARRAY)")
-    scalar = F.when(~F.coalesce(is_nested, F.lit(False)), col(name)).alias(f"{name}{sep}value")
+    variant, is_object, is_array = _parsed(col(name))
     others = [col(n) for n in df.columns if n != name]
-    return flatten(df.select(*others, scalar, F.from_json(col(name), schema).alias(name)), [name], sep)
+    parsed = df.select(*[c.alias(f"c{i}") for i, c in enumerate(others)], col(name).alias("text"), variant.alias("json"), is_object.alias("object"), is_array.alias("array"))
+    cells = [
+        F.when(F.col(shape), F.try_variant_get(F.col("json"), "$", kind)).alias(shape) for shape, kind in zip(("object", "array"), kinds) if kind
+    ]
+    nested = parsed.select("*", *[c.alias(f"of_{i}") for i, c in enumerate(cells)])
+    scalar = F.when(~(F.col("object") | F.col("array")), F.col("text")).alias(f"{name}{sep}value")
+    flat: list[tuple[str, Column]] = []
+    for i in range(len(cells)):
+        found = _flat(type_of(nested, f"of_{i}"), F.col(f"of_{i}"), name, sep)
+        if {n for n, _ in flat} & {n for n, _ in found}:
+            found = _flat(type_of(nested, f"of_{i}"), F.col(f"of_{i}"), f"{name}{sep}list", sep)
+        flat += found
+    names = [n for n in df.columns if n != name] + [f"{name}{sep}value"] + [n for n, _ in flat]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"flattening gives two columns named {', '.join(twice)}")
+    return nested.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(n for n in df.columns if n != name)], scalar, *[c.alias(n) for n, c in flat])
 
 
 def decode_bytes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.numbers import PLAIN_INTEGER, to_double
-from plumbline.operators.columns import col, stack
+from plumbline.operators.columns import col
+from plumbline.session import stage
+
+#: Rows that a broadcast may hold; counted before.
+BROADCAST_ROWS = 200_000
 
 # Cells of a CSV file that mean there is no value.
 NULL_TOKENS = [
@@ -64,32 +68,53 @@ def _as(kind: str, c: Column) -> Column:
     return to_double(c) if kind == "double" else F.trim(c).try_cast(kind)
 
 
+#: A cell in quotes that are closed on its line; quotes inside are doubled. Only at its start does a quote open a cell.
+QUOTED = r'(^|,)"[^"]*+(?:""[^"]*+)*+"[^,]*+'
+OPEN = r'(?:^|,)"'
+
+
 def _cells(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> DataFrame:
     """All cells as text, by the names in each file's header.
 
-    One pass over the lines finds the header of every file and, unless records may span lines, a quote
-    that is left open, which is an error. Files with the same header are read together.
+    One pass over the lines finds the header of every file and, unless records may span lines, a cell whose quote
+    is left open, which is an error. A row per different header reaches the driver. If there are several, the files are still
+    read in one scan, by place, and each row's names come from a join with the headers, a row per file.
     """
     at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
-    open_quote = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    per_file = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max(F.when(open_quote, F.col("value"))).alias("open"))
-    headers = per_file.groupBy("header").agg(F.max("open").alias("open"), F.collect_list("file").alias("files")).collect()
+    left_open = F.regexp_replace("value", QUOTED, "$1").rlike(OPEN)
+    per_file = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"), F.max(F.when(left_open, F.col("value"))).alias("open"))
+    per_file = stage(per_file, "headers")
+    headers = per_file.groupBy("header").agg(F.max("open").alias("open")).orderBy("header").collect()
     broken = [row["open"] for row in headers if row["open"] is not None]
     if broken and not multi_line:
         raise ValueError(f"a quote is left open, set multi_line if cells hold line breaks: {broken[0]!r}")
     if len(headers) < 2:
-        return _same_header(spark, path, multi_line)
-    frames = [_same_header(spark, [unquote(f) for f in row["files"]], multi_line) for row in sorted(headers, key=lambda r: r["header"])]
-    if len({frozenset(f.columns) for f in frames}) > 1:
-        raise ValueError(f"files of {path} have other columns: {'; '.join(sorted(row['header'] for row in headers))}")
-    return stack(frames)
+        return _rows(spark, path, multi_line)
+    named = {row["header"]: next(csv.reader([row["header"]])) for row in headers}
+    names = next(iter(named.values()))
+    if any(sorted(found) != sorted(set(names)) for found in named.values()):
+        raise ValueError(f"files of {path} have other columns: {'; '.join(named)}")
+    files = per_file.select("file", "header")
+    files = F.broadcast(files) if files.count() <= BROADCAST_ROWS else files
+    placed = _rows(spark, path, multi_line, [f"c{i}" for i in range(len(names))]).join(files, "file")
+
+    def cell(name: str) -> Column:
+        c = F.lit(None).cast("string")
+        for header, found in named.items():
+            c = F.when(F.col("header") == header, F.col(f"c{found.index(name)}")).otherwise(c)
+        return c
 
+    return placed.select(*[cell(n).alias(n) for n in names])
 
-def _same_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> DataFrame:
-    """A row with too few cells has nulls at its end; one with too many is an error."""
+
+def _rows(spark: SparkSession, path: str | Sequence[str], multi_line: bool, places: Sequence[str] | None = None) -> DataFrame:
+    """The cells by the names of the header, or by ``places`` with the ``file`` they are of.
+
+    A row with too few cells has nulls at its end; one with too many is an error.
+    """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
-    names = reader.csv(path).columns
+    names = places or reader.csv(path).columns
     odd = "_row_of_another_width"
     fields = T.StructType([T.StructField(n, T.StringType()) for n in [*names, odd]])
     rows = reader.schema(fields).option("columnNameOfCorruptRecord", odd).csv(path)
@@ -98,7 +123,8 @@ def _same_header(spark: SparkSession, path: str | Sequence[str], multi_line: boo
     extra = F.from_csv(F.col(odd), wider, {"nullValue": "\x00", "escape": '"'})[f"c{len(names)}"]
     too_long = F.raise_error(F.concat(F.lit("more cells than columns: "), F.col(odd))).cast("string")
     last = F.when(F.col(odd).isNotNull() & extra.isNotNull(), too_long).otherwise(col(names[-1]))
-    return rows.select(*[col(n) for n in names[:-1]], last.alias(names[-1]))
+    file = [F.col("_metadata.file_path").alias("file")] if places else []
+    return rows.select(*[col(n) for n in names[:-1]], last.alias(names[-1]), *file)
 
 
 def scan_csv(
@@ -111,7 +137,8 @@ def scan_csv(
     """A CSV file with a header; any of several tokens stands for no value.
 
     Without a schema the types are found in one pass over all rows: whole numbers, numbers, booleans,
-    else text. A cell that a given schema does not fit is null. Set ``multi_line`` when quoted cells
+    else text. A cell that a given schema does not fit is null. A quote within a cell that does not begin with one is a sign like
+    others (``16" disk``). Files of a folder may have their columns in different orders. Set ``multi_line`` when quoted cells
     hold line breaks; such files cannot be split between tasks.
     """
     raw = _cells(spark, path, multi_line)

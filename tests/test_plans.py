@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.registry import QUERIES
-from plumbline.operators import drift, filling, frequencies, measures, outliers, rules
+from plumbline.operators import correlation, drift, filling, frequencies, measures, outliers, rules
+from plumbline.plans.comparison import comparison
 from plumbline.plans.quality_report import quality_metrics
 
 # Row-wise Python, joins of everything with everything, and windows that gather a table in one task.
@@ -101,8 +102,32 @@ def test_counting_texts_does_not_ship_them(read):
 
 
 def test_both_snapshots_share_a_grouping(read):
+    events, documents = read("events"), read("documents")
+    assert "Join" not in plan(drift.drift_categories(events, events, ["ts"]))
+    # texts that changed are fetched by their keys: the sides themselves are not joined
+    shown = plan(drift.drift_categories(documents, documents, ["text"]))
+    assert set(re.findall(r"\w*Join\b", shown)) == {"BroadcastHashJoin"} and shown.count("BroadcastHashJoin") == 1
+
+
+def test_the_whole_comparison_groups_a_column_once(read):
     events = read("events")
-    assert "Join" not in plan(drift.drift_categories(events, events, ["event_type"]))
+    compared = comparison(events, events.where("event_id % 2 = 0"))
+    compared.collect()
+    assert plan(compared).count("ReusedExchange") >= 4
+
+
+@pytest.mark.parametrize("function", [frequencies.top_values, frequencies.sample_values, frequencies.category_statistics])
+def test_whole_texts_are_only_moved_once_chosen(read, function):
+    """Texts are grouped by key; whole ones enter a grouping above the filter that picks them, and none is sorted."""
+    shown = formatted(function(read("documents"), ["text"]))
+    assert "sha2" in shown and "SortAggregate" not in shown
+    unpicked = re.findall(r"hashpartitioning\(text#", shown)
+    assert not unpicked
+
+
+def test_correlations_multiply_no_rows(read):
+    shown = plan(correlation.correlations(read("lineitem")))
+    assert "posexplode" not in shown and shown.count("MapInArrow") == shown.count("FileScan") == 1
 
 
 def test_deduplication_needs_no_window(read):
