@@ -112,28 +112,25 @@ def clean_text(spark, sf_dir):
 
 @query(
     "dedupe_rows",
-    f"""SELECT min(doc_id) AS doc_id, text, lang FROM (SELECT doc_id, {_CLEAN.format("text")} AS text, lang FROM documents)
-    GROUP BY text, lang""",
+    f"""SELECT min(doc_id) AS doc_id, text, lang, source, n_chars FROM
+    (SELECT doc_id, {", ".join(f"{_CLEAN.format(c)} AS {c}" for c in ("text", "lang", "source"))}, n_chars FROM documents) GROUP BY ALL""",
 )
 def dedupe_rows(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return filling.dedupe_rows(filling.clean_texts(documents), "doc_id")
+    return filling.dedupe_rows(filling.clean_texts(table(spark, sf_dir, "documents")), "doc_id")
 
 
 @query(
     "dedupe_rows_by_columns",
-    """SELECT min(event_id) AS event_id, user_id, event_type, arg_min(value, event_id) AS value
-    FROM events GROUP BY user_id, event_type""",
+    """SELECT min(event_id) AS event_id, arg_min(ts, event_id) AS ts, user_id, event_type, arg_min(value, event_id) AS value,
+    arg_min(props, event_id) AS props FROM events GROUP BY user_id, event_type""",
 )
 def dedupe_rows_by_columns(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return filling.dedupe_rows(events, "event_id", ["user_id", "event_type"])
+    return filling.dedupe_rows(table(spark, sf_dir, "events"), "event_id", ["user_id", "event_type"])
 
 
 @query(
     "clip_range",
-    """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 9000 THEN 9000 ELSE c_acctbal END AS c_acctbal
-    FROM customer""",
+    "SELECT * REPLACE (CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal > 9000 THEN 9000 ELSE c_acctbal END AS c_acctbal) FROM customer",
 )
 def clip_range(spark, sf_dir):
-    return filling.clip_range(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 0, 9000)
+    return filling.clip_range(table(spark, sf_dir, "customer"), "c_acctbal", 0, 9000)

@@ -275,10 +275,13 @@ def table_summary(spark, sf_dir):
 @query(
     "duplicate_rows",
     """SELECT sum(n - 1)::BIGINT AS duplicate_rows, round(sum(n - 1) * 100.0::DOUBLE / sum(n), 2) AS duplicate_rows_pct
-    FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)""",
+    FROM (SELECT event_id, ts, user_id, event_type, value, props, count(*) AS n FROM
+      (SELECT * FROM events UNION ALL SELECT * FROM events WHERE value < 20) GROUP BY ALL)""",
 )
 def duplicate_rows(spark, sf_dir):
-    return measures.duplicate_rows(table(spark, sf_dir, "events").select("user_id", "event_type"))
+    """Whole rows, some of them twice."""
+    events = table(spark, sf_dir, "events")
+    return measures.duplicate_rows(events.union(events.where("value < 20")))
 
 
 _TYPES = dict(

@@ -81,10 +81,9 @@ def _anomaly_sql(c, mean, std):
 @query(
     "detect_anomalies",
     f"""WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS d, avg(user_id) AS um, stddev_samp(user_id) AS ud FROM events)
-    SELECT event_id, user_id, event_type, value, {_anomaly_sql("value", "s.m", "s.d")}, {_anomaly_sql("user_id", "s.um", "s.ud")}
+    SELECT events.*, {_anomaly_sql("value", "s.m", "s.d")}, {_anomaly_sql("user_id", "s.um", "s.ud")}
     FROM events, s""",
 )
 def detect_anomalies(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    marked = outliers.detect_anomalies(events, ["value", "event_type", "user_id"])
+    marked = outliers.detect_anomalies(table(spark, sf_dir, "events"), ["value", "event_type", "user_id"])
     return rounded(marked, [f"{c}_{s}" for c in ("value", "user_id") for s in ("anomaly_score", "zscore")])

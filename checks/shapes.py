@@ -61,10 +61,10 @@ def flatten_array(spark, sf_dir):
     return flat.withColumn("total", F.round(total, 6) + F.lit(0.0)).drop("embedding_items")
 
 
-@query("decode_bytes", "SELECT doc_id, decode(encode(text)) AS text FROM documents")
+@query("decode_bytes", "SELECT * REPLACE (decode(encode(text)) AS text, decode(encode(source)) AS source) FROM documents")
 def decode_bytes(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    return nested.decode_bytes(documents.select("doc_id", F.col("text").cast("binary").alias("text")))
+    return nested.decode_bytes(documents.withColumns({c: F.col(c).cast("binary") for c in ("text", "source")}))
 
 
 _MIDNIGHT = "CASE WHEN bool_and(date_trunc('day', {c}) = {c}) THEN 'date' ELSE 'datetime' END"

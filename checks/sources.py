@@ -9,6 +9,7 @@ from checks.registry import COLUMNS, GAPPY, each, gappy_orders, query, table
 from checks.rules import EXPRESSION_RULES, result_sql
 from plumbline.operators import drift, measures, rules
 from plumbline.operators.columns import stack
+from plumbline.plans import source_report
 from plumbline.session import scratch_path
 from plumbline.sources import files, history, reports, rulesets, tables
 
@@ -43,19 +44,34 @@ def scan_csv(spark, sf_dir):
 @query(
     "scan_json",
     """SELECT o_orderkey, o_custkey AS customer_id, o_orderpriority AS customer_how_o_orderpriority,
-    o_orderstatus AS customer_how_o_orderstatus, o_totalprice FROM orders""",
+    o_orderstatus AS customer_how_o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
 )
 def scan_json(spark, sf_dir):
     """Each line is a document of its own: an array holding one nested object."""
     path = scratch_path(spark, "orders-json")
     customer = F.struct(F.col("o_custkey").alias("id"), F.struct("o_orderpriority", "o_orderstatus").alias("how"))
-    row = F.to_json(F.array(F.struct("o_orderkey", customer.alias("customer"), "o_totalprice")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")
+    row = F.to_json(F.array(F.struct("o_orderkey", customer.alias("customer"), "o_totalprice", day)))
     table(spark, sf_dir, "orders").select(row).write.text(path)
     return files.scan_json(spark, path).select(
-        "o_orderkey", "customer_id", "customer_how_o_orderpriority", "customer_how_o_orderstatus", "o_totalprice"
+        "o_orderkey", "customer_id", "customer_how_o_orderpriority", "customer_how_o_orderstatus", "o_totalprice", "day"
     )
 
 
+@query("scan_json_document", "SELECT c_custkey, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment AS segment_name FROM customer")
+def scan_json_document(spark, sf_dir):
+    """Documents that span lines: arrays of objects, the last of each an empty one."""
+    path = scratch_path(spark, "customers-json")
+    customers = table(spark, sf_dir, "customer")
+    listed = F.to_json(F.struct("c_custkey", "c_nationkey", "c_acctbal", F.struct(F.col("c_mktsegment").alias("name")).alias("segment")))
+    for k in range(8):
+        rows = customers.where(F.pmod("c_custkey", F.lit(8)) == k).select(F.lit(1).alias("place"), F.concat(listed, F.lit(",")).alias("line"))
+        ends = spark.createDataFrame([(0, "["), (2, "{}]")], "place int, line string")
+        ends.union(rows).coalesce(1).sortWithinPartitions("place").select("line").write.mode("append").text(path)
+    found = files.scan_json(spark, path).where("c_custkey IS NOT NULL")
+    return found.select("c_custkey", "c_nationkey", "c_acctbal", "segment_name")
+
+
 @query("scan_jsonl", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def scan_jsonl(spark, sf_dir):
     path = scratch_path(spark, "documents-jsonl")
@@ -133,17 +149,51 @@ def scan_csv_folder(spark, sf_dir):
     return files.scan_csv(spark, path).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "size", "item")
 
 
-@query("ingest_table", "SELECT p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part UNION ALL SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+@query("ingest_table", "SELECT * REPLACE (p_size::BIGINT AS p_size) FROM part UNION ALL SELECT * FROM part")
 def ingest_table(spark, sf_dir):
     """Replace, then append the same file."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
-    csv, name = _as_csv(part, spark, "part-csv"), f"part_{uuid.uuid4().hex}"
+    csv, name = _as_csv(table(spark, sf_dir, "part"), spark, "part-csv"), f"part_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
     for if_exists in ("replace", "append"):
         tables.ingest_csv(spark, csv, name, if_exists, path=path)
     return tables.read_table(spark, name)
 
 
+@query(
+    "ingest_with_index",
+    """SELECT count(*) AS "rows", 0::BIGINT AS "first", count(*) - 1 AS "last", count(*) AS numbers, sum(p_partkey)::BIGINT AS keys, TRUE AS in_order FROM part""",
+)
+def ingest_with_index(spark, sf_dir):
+    """Rows numbered from 0 without gaps, in file order: the part keys of a file ascend."""
+    csv, name = _as_csv(table(spark, sf_dir, "part").coalesce(1).orderBy("p_partkey"), spark, "part-csv"), f"part_{uuid.uuid4().hex}"
+    tables.ingest_csv(spark, csv, name, path=scratch_path(spark, name), index=True)
+    rows = tables.read_table(spark, name)
+    ascends = F.count_if(F.col("p_partkey") < F.col("index")) == 0
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"), F.min("index").alias("first"), F.max("index").alias("last"), F.count_distinct("index").alias("numbers"), F.sum("p_partkey").alias("keys"), ascends.alias("in_order")
+    )
+
+
+@query(
+    "analyze_file",
+    each(
+        COLUMNS["orders"],
+        lambda c: f"""SELECT '{c}' AS "column", count(*) AS total_rows, count(*) - count({c}) AS null_count,
+        (count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))::BIGINT AS unique_count,
+        count(DISTINCT {c}) AS different_values, count({c}) AS counted, TRUE AS rule_holds FROM {GAPPY}""",
+    ),
+)
+def analyze_file(spark, sf_dir):
+    """The whole report of a CSV file: its metrics, and what its value counts and rules say of each column."""
+    path = scratch_path(spark, "report") + ".csv"
+    gappy_orders(spark, sf_dir).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd")).write.option("header", True).csv(path)
+    report = source_report.analyze_file(spark, path, [{"expectation_type": rules.NOT_NULL, "column": "o_orderkey"}])
+    counts = report["value_counts"].groupBy("column").agg(F.count(F.lit(1)).alias("different_values"), F.sum("count").alias("counted"))
+    holds = report["rules"].agg(F.bool_and("success").alias("holds")).scalar()
+    metrics = report["metrics"].select("column", "total_rows", "null_count", "unique_count")
+    return metrics.join(F.broadcast(counts), "column").withColumn("rule_holds", holds)
+
+
 @query(
     "write_report",
     each(
@@ -215,12 +265,11 @@ def anomaly_store(spark, sf_dir):
 
 @query(
     "latest_per_key",
-    """SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders
+    """SELECT * FROM orders
     QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
 )
 def latest_per_key(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return history.latest_per_key(orders, "o_custkey", ["o_orderdate", "o_orderkey"])
+    return history.latest_per_key(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"])
 
 
 _PART_RULES = "\nUNION ALL\n".join(
