@@ -6,8 +6,10 @@ weight x level. With the sources in order of ceiling per weight, those that reac
 level follows from running sums over the sources (a row each), without a loop.
 
 Null texts have size 0; a source of size 0 gets target 0; a null source is a source, in the last place.
-Each row stands for itself, so repeated rows are drawn alike if they share the id. An empty table gives
-an empty table. Columns of the table other than those named are passed through untouched or not read.
+Each row draws a coin of its own: it is seeded with the id and a digest of the whole text, of any length, so rows without
+an id, or with the same one, differ. Rows that agree in both, found by counting digests, are told apart by their place in
+the table, which reruns over the same files keep. An empty table gives an empty table. Columns of the table other than those
+named are passed through untouched or not read; if one is called like the number of the copy, that gets another name.
 """
 
 from __future__ import annotations
@@ -50,27 +52,41 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float =
     return per.select("source", "source_size", target.alias("target"), rate.alias("rate"))
 
 
-def coin(doc_id: Column, seed: int) -> Column:
-    """Even in [0, 1), from 52 bits of a digest of the seed and the id: reruns and retried tasks agree."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def coin(key: Column, seed: int) -> Column:
+    """Even in [0, 1), from 52 bits of a digest of the seed and the row's key: reruns and retried tasks agree."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def key_of(id: Column, text: Column) -> Column:
+    """The id and the digest of the text."""
+    return F.concat_ws(":", F.coalesce(id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+
+
 def with_copies(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17, weights=WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``row`` (all columns of the table as a struct), ``size``, its source's figures, and ``copies``.
 
     copies = floor(rate) + (coin < fraction of the rate), at most ceil(``most``).
     """
-    sized = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id].alias("id"), df[source].alias("source"), size_of(df[text]).alias("size"))
-    per = targets(sized.select("source", "size"), weights, share, most).withColumnRenamed("source", "of_source")
+    key = key_of(df[id], df[text])
+    sized = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), key.alias("key"), df[source].alias("source"), size_of(df[text]).alias("size"))
+    sized = sized.withColumn("place", F.monotonically_increasing_id())
+    per = targets(df.select(df[source].alias("source"), size_of(df[text]).alias("size")), weights, share, most).withColumnRenamed("source", "of_source")
     joined = sized.join(small(per), F.col("source").eqNullSafe(F.col("of_source")), "left")
+    again = df.select(key.alias("again")).groupBy("again").agg(F.count("*").alias("n")).where("n > 1").select("again")
+    joined = joined.join(small(again), F.col("key") == F.col("again"), "left")
+    own = F.when(F.col("again").isNull(), F.col("key")).otherwise(F.concat_ws(":", "key", "place"))
     whole = F.floor("rate")
-    copies = whole + F.when(coin(F.col("id"), seed) < F.col("rate") - whole, 1).otherwise(0)
+    copies = whole + F.when(coin(own, seed) < F.col("rate") - whole, 1).otherwise(0)
     return joined.select("row", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"))
 
 
 def mix(df: DataFrame, copy: str = "copy", **how) -> DataFrame:
-    """The mixed table: every row as often as it is taken, numbered from 1 in the column ``copy``."""
+    """The mixed table: every row as often as it is taken, numbered from 1 in the column ``copy``.
+
+    If the table has a column of that name, it stays, and the number's name gets underscores until it is free.
+    """
     drawn = with_copies(df, **how).where("copies > 0")
-    names = [c for c in df.columns if c != copy]
-    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.explode(F.sequence(F.lit(1), "copies")).alias(copy))
+    while copy in df.columns:
+        copy += "_"
+    return drawn.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], F.explode(F.sequence(F.lit(1), "copies")).alias(copy))

@@ -150,7 +150,7 @@ def op4_decontamination(spark, sf_dir):
 
 
 MIXING_SQL = f"""
-WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (
     SELECT *, [3.0::DOUBLE, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight,
@@ -164,7 +164,7 @@ levels AS (SELECT arg_min((total - used) / open, ceiling / weight) AS level FROM
 targets AS (SELECT source, source_size, least(ceiling, coalesce(level * weight, ceiling)) AS target FROM summed, levels),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets)
 SELECT doc_id, size, source_size, target,
-       CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE
+       CAST(size * (floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE
                                         < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
 """
