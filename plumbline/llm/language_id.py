@@ -6,13 +6,13 @@ piece probabilities are learned by expectation-maximisation, a backward pass giv
 count. A text's log probability is the sum over its words; the score is the posterior of the best
 language when all are equally likely beforehand.
 
-The fit reads at most about ``docs_per_language`` documents of each language, chosen by a hash of the id,
-and brings the driver a row per language and piece. Words of many languages' letters are cut to runs of
-letters and read in lower case; runs over ``LONGEST`` letters are read in parts of that length.
+The fit reads at most about ``docs_per_language`` documents of each language, chosen by a hash of the
+id, the text and the row's place, and brings the driver a row per language and piece. Texts are cut to runs of letters and
+read in lower case. Runs are summed whole, however long, in numbers scaled on the way.
 
-A null text, or one without a letter, is ``und`` with score 0. Rows with a null language or text teach nothing.
-Ties go to the smallest name. Without rows to learn from, every text is ``und``. Repeated rows are predicted alike;
-other columns are not read.
+A null text, or one without a letter, is ``und`` with score 0. Rows with a null language or text teach nothing, those
+without an id or with the same one do as well as others. Ties go to the smallest name. Without rows to learn from, every text is
+``und``. Repeated rows are predicted alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +33,11 @@ shipped(__name__)
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 48
 START = "▁"
+#: Letters after which sums are scaled: each is 1e-7 at least, so they stay far above the least double.
+STRETCH = 32
+#: Cells of a table of pieces that are held at once, a word at least.
+CELLS = 1 << 22
 #: Words whose log probabilities a task remembers.
 REMEMBERED = 200_000
 
@@ -50,11 +53,11 @@ def vocabulary(path: str = VOCABULARY) -> list[str]:
 
 
 def runs(text: str | None) -> list[str]:
-    """The lower-case runs of letters of a text."""
+    """The lower-case runs of letters of a text, whole. Numbers that are no digits, such as a raised 2, part them too."""
     found = LETTERS.findall((text or "").lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 class Lattice:
@@ -81,48 +84,61 @@ class Lattice:
         return np.array(flat, dtype=np.int64).reshape(len(words), n, width)
 
     def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(places in ``words``, their table), a length and at most 4096 words at a time."""
+        """(places in ``words``, their table), a length and a bounded number of words at a time."""
         by: dict[int, list[int]] = {}
         for i, word in enumerate(words):
             by.setdefault(len(word), []).append(i)
-        for places in by.values():
-            for at in range(0, len(places), 4096):
-                part = places[at : at + 4096]
+        for n, places in by.items():
+            step = max(1, min(4096, CELLS // ((n + 1) * self.longest)))
+            for at in range(0, len(places), step):
+                part = places[at : at + step]
                 yield np.array(part), self.table([START + words[i] for i in part])
 
     @staticmethod
-    def forward(table: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """alpha[word, end, language] for p[piece, language]; alpha[:, 0] is 1."""
+    def forward(table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha[word, end, language] for p[piece, language], alpha[:, 0] being 1; and the logarithm of what each was divided by."""
         w, n, width = table.shape
-        alpha = np.zeros((w, n + 1, p.shape[1]))
+        alpha, scale = np.zeros((w, n + 1, p.shape[1])), np.zeros((w, n + 1, p.shape[1]))
         alpha[:, 0] = 1.0
         for end in range(1, n + 1):
+            scale[:, end] = scale[:, end - 1]
             for length in range(1, min(width, end) + 1):
                 alpha[:, end] += alpha[:, end - length] * p[table[:, end - 1, length - 1]]
-        return alpha
+            if end % STRETCH == 0:
+                # this sum and those that are still in use, in units of this one
+                start, unit = max(0, end - width), alpha[:, end].copy()
+                alpha[:, start : end + 1] /= unit[:, None]
+                scale[:, start : end + 1] += np.log(unit)[:, None]
+        return alpha, scale
 
     def log_probabilities(self, words: list[str], p: np.ndarray) -> np.ndarray:
         out = np.empty((len(words), p.shape[1]))
         for places, table in self.groups(words):
-            out[places] = np.log(np.maximum(self.forward(table, p)[:, -1], 1e-300))
+            alpha, scale = self.forward(table, p)
+            out[places] = np.log(alpha[:, -1]) + scale[:, -1]
         return out
 
     def expected(self, words: list[str], n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces in ``n`` occurrences of the words, for one language's p[piece]."""
+        """Expected counts of pieces in ``n`` occurrences of the words, for one language's p[piece].
+
+        Sums before a place times sums behind it, over the sum of all cuts; those behind are sums before in the word read
+        backwards.
+        """
         counts = np.zeros(self.size)
         for places, table in self.groups(words):
             w, length, width = table.shape
-            alpha = self.forward(table, p[:, None])[:, :, 0]
-            beta = np.zeros((w, length + 1))
-            beta[:, length] = 1.0
-            for start in range(length - 1, -1, -1):
-                for k in range(1, min(width, length - start) + 1):
-                    beta[:, start] += p[table[:, start + k - 1, k - 1]] * beta[:, start + k]
-            share = n[places] / np.maximum(alpha[:, -1], 1e-300)
+            before, scale = self.forward(table, p[:, None])
+            mirrored = np.zeros_like(table)
+            for k in range(1, width + 1):
+                # the piece of k letters that ends at a place ends k letters further on, seen from behind
+                mirrored[:, k - 1 :, k - 1] = table[:, k - 1 :, k - 1][:, ::-1]
+            behind, behind_scale = self.forward(mirrored, p[:, None])
+            front = np.log(np.maximum(before, 1e-300))[:, :, 0] + scale[:, :, 0]
+            back = (np.log(np.maximum(behind, 1e-300))[:, :, 0] + behind_scale[:, :, 0])[:, ::-1]
             for end in range(1, length + 1):
                 for k in range(1, min(width, end) + 1):
                     ids = table[:, end - 1, k - 1]
-                    np.add.at(counts, ids, share * alpha[:, end - k] * p[ids] * beta[:, end])
+                    np.add.at(counts, ids, n[places] * p[ids] * np.exp(np.minimum(front[:, end - k] + back[:, end] - front[:, -1], 700.0)))
         counts[0] = 0.0
         return counts
 
@@ -148,7 +164,6 @@ class Identifier:
     def predict(self, texts) -> tuple[list[str], list[float]]:
         """Best language and posterior for each text; new words of all texts are scored together."""
         split = [runs(t) for t in texts]
-        split = [w if any(map(str.isalpha, w)) else [] for w in split]
         if len(self.places) > REMEMBERED:
             self.forget()
         new = sorted({w for ws in split for w in ws} - self.places.keys())
@@ -183,7 +198,8 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     rows = docs.select(docs[id].alias("id"), docs[text].alias("text"), docs[lang].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("id"), folds) != out))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("of_lang")).withColumnRenamed("lang", "name")
-    draw = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
+    # by row: ids may be null, or the same, in all rows of a language
+    draw = F.pmod(F.xxhash64("id", "text", F.monotonically_increasing_id(), F.lit(9)), F.lit(1 << 40)) / float(1 << 40)
     rows = rows.withColumn("draw", draw).join(F.broadcast(sizes), F.col("lang") == F.col("name"))  # a row per language
     rows = rows.where(F.col("draw") * F.col("of_lang") < docs_per_language).select("text", "lang")
     words = rows.mapInPandas(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
