@@ -2,14 +2,14 @@
 
 A text's fingerprint has a bit set if over half of its word shingles' hashes have it. Two fingerprints
 that differ in at most three bits differ in at most one bit of one of their two halves. So each half is
-indexed under its 32 variants with one bit deleted: halves that differ in one bit share the variant
-without it, equal halves share all. An equality join on the variants finds every link, the whole
-distance is then verified, and of the variants that a pair shares only one reports it.
+indexed under its 32 variants with one bit deleted: halves that differ in one bit share the variant without it. Prints
+with an equal half, which share all its variants, are kept from meeting under them and meet under that half and a
+segment of the other. Equality joins find every link, and the whole distance is then verified.
 
 Equal fingerprints are one node, so copies never meet in the join, however many there are. Links are
 joined to components by alternating star contraction, which keeps one edge for each edge it is given.
 
-Null and blank texts have fingerprint zero and are linked like any other. Repeated rows and ties share
+Texts are read whole, of any length. Null and blank texts have fingerprint zero and are linked like any other. Repeated rows and ties share
 their component. A row with a null id is linked too, but can't name a component; if no row of a component
 has an id, its name is null. An empty table gives an empty table.
 """
@@ -66,32 +66,42 @@ def hexadecimal(print_: Column) -> Column:
     return F.lower(F.lpad(F.hex(print_), 16, "0"))
 
 
-def variants(print_: str) -> Column:
-    """The 64 keys of a fingerprint: half, deleted bit and the other bits of the half, as one long."""
+def halves(print_: str) -> Column:
+    """``half, bits, others``: the lower and the upper half of a fingerprint, each with the other one."""
     return F.expr(
-        f"flatten(transform(array(0, 1), half -> transform(sequence(0, {HALF - 1}), bit ->"
-        f" (shiftrightunsigned({print_}, half * {HALF}) & 4294967295L & ~shiftleft(1L, bit))"
-        f" | shiftleft(CAST(half * {HALF} + bit AS BIGINT), {HALF}))))"
+        f"inline(transform(array(0, 1), half -> struct(half,"
+        f" shiftrightunsigned({print_}, half * {HALF}) & 4294967295L AS bits, shiftrightunsigned({print_}, (1 - half) * {HALF}) & 4294967295L AS others)))"
     )
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of different fingerprints (a < b) within the distance, each once."""
-    keyed = prints.select("print", F.explode(variants("print")).alias("variant"))
-    left, right = keyed.withColumnRenamed("print", "a"), keyed.withColumnRenamed("print", "b")
-    near = F.expr(
-        # one report for a pair: the deleted bit is the one that differs, or the first of an equal half;
-        # the upper half reports only what the lower half can't
-        f"""a < b AND bit_count(a ^ b) <= {DISTANCE} AND CASE
-            WHEN shiftrightunsigned(variant, {HALF}) < {HALF} THEN
-                ((a ^ b) & 4294967295L) = 0 AND shiftrightunsigned(variant, {HALF}) = 0
-                OR ((a ^ b) & 4294967295L) = shiftleft(1L, CAST(shiftrightunsigned(variant, {HALF}) AS INT))
-            ELSE bit_count((a ^ b) & 4294967295L) > 1 AND (
-                shiftrightunsigned(a ^ b, {HALF}) = 0 AND shiftrightunsigned(variant, {HALF}) = {HALF}
-                OR shiftrightunsigned(a ^ b, {HALF}) = shiftleft(1L, CAST(shiftrightunsigned(variant, {HALF}) - {HALF} AS INT)))
-            END"""
-    )
-    return left.join(right, "variant").where(near).select("a", "b")
+    """``a, b``: all pairs of different fingerprints (a < b) within the distance, each once.
+
+    Halves that differ in one bit are alike without it: a print with the bit set meets those without it, so prints with an
+    equal half don't meet under its variants. They meet once, under the half and one of the other half's segments: that has as many
+    as bits that may differ and one more, so one is equal. A pair is reported by the first half and segment that finds it.
+    """
+    cut = prints.select("print", halves("print"))
+    width = HALF // (DISTANCE + 1)
+    segments = F.expr(f"inline(transform(sequence(0, {DISTANCE}), s -> struct(s AS segment, shiftright(others, s * {width}) & {(1 << width) - 1}L AS part)))")
+    equal = cut.select("print", "half", "bits", segments)
+    left, right = equal.withColumnRenamed("print", "a"), equal.withColumnRenamed("print", "b")
+    same = left.join(right, ["half", "bits", "segment", "part"]).select("a", "b", "half", "segment", F.col("a").bitwiseXOR(F.col("b")).alias("d"))
+    # the other half of the difference has no equal segment before this one
+    rest = F.expr("shiftrightunsigned(d, (1 - half) * 32) & 4294967295L")
+    earlier = F.lit(True)
+    for s in range(1, DISTANCE + 1):
+        earlier &= (F.col("segment") < s) | (F.shiftright(rest, (s - 1) * width).bitwiseAND(F.lit((1 << width) - 1)) != 0)
+    same = same.where((F.col("a") < F.col("b")) & earlier)
+
+    bit = F.expr(f"inline(transform(sequence(0, {HALF - 1}), bit -> struct(bit, shiftright(bits, bit) & 1 AS is_set, bits & ~shiftleft(1L, bit) AS without)))")
+    one = cut.select("print", "half", bit)
+    unset, is_set = (one.where(F.col("is_set") == k).select(F.col("print").alias(n), "half", "bit", "without") for k, n in ((0, "x"), (1, "y")))
+    differ = unset.join(is_set, ["half", "bit", "without"])
+    differ = differ.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "half", F.col("x").bitwiseXOR(F.col("y")).alias("d"))
+    # what the lower half finds, equal or with one bit, the upper one doesn't report
+    by_lower = F.expr("bit_count(d & 4294967295L) <= 1")
+    return same.select("a", "b", "half", "d").union(differ).where((F.bit_count("d") <= DISTANCE) & ((F.col("half") == 0) | ~by_lower)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
