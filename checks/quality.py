@@ -48,16 +48,16 @@ def _issues_sql(texts, numbers, others, source):
 
     return f"""WITH p AS ({each(texts + numbers + others, one)})
     SELECT "column", 'high_null_percentage' AS issue_type,
-      printf('Column has %.1f%% null values', nulls * 100.0::DOUBLE / n) AS description,
+      printf('%.1f%% of the rows have no value', nulls * 100.0::DOUBLE / n) AS description,
       CASE WHEN nulls * 100.0 / n > 50 THEN 'high' ELSE 'medium' END AS severity FROM p WHERE nulls * 100.0 / n > 20
-    UNION ALL SELECT "column", 'mixed_data_types', 'Column contains mix of numeric and non-numeric values', 'medium'
+    UNION ALL SELECT "column", 'mixed_data_types', 'some values read as numbers, others do not', 'medium'
       FROM p WHERE number_like > 0 AND number_like < seen
-    UNION ALL SELECT "column", 'inconsistent_casing', 'Column contains mix of upper and lower case values', 'low'
+    UNION ALL SELECT "column", 'inconsistent_casing', 'some values are in capitals, others in small letters', 'low'
       FROM p WHERE up > 0 AND low > 0
-    UNION ALL SELECT "column", 'special_characters', 'Column contains special characters', 'low'
+    UNION ALL SELECT "column", 'special_characters', 'values hold signs beyond letters, digits and blanks', 'low'
       FROM p WHERE special > 0
     UNION ALL SELECT "column", 'high_cardinality',
-      printf('Column has %.1f%% unique values', kinds * 100.0::DOUBLE / (n - nulls)), 'medium'
+      printf('different values for %.1f%% of the rows', kinds * 100.0::DOUBLE / (n - nulls)), 'medium'
       FROM p WHERE NOT is_number AND different > 0 AND kinds * 100.0 / (n - nulls) > 90"""
 
 

@@ -417,7 +417,7 @@ RECORDS = [
     "CASE WHEN c_nationkey < 5 THEN 'never' ELSE '2024-01-02T03:04:05' END AS joined",
 ]
 _RECORDS_SQL = derived_sql("customer", RECORDS)
-_EMAIL = "regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$')"
+_EMAIL = f"regexp_matches(email, '{record_schema.EMAIL}')"
 
 
 @query(

@@ -75,26 +75,26 @@ def quality_issues(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         _issue(
             null_share > MANY_NULLS,
             "high_null_percentage",
-            F.concat(F.lit("Column has "), F.format_string("%.1f", null_share), F.lit("% null values")),
+            F.concat(F.format_string("%.1f", null_share), F.lit("% of the rows have no value")),
             F.when(null_share > MOST_NULLS, "high").otherwise("medium"),
         ),
         _issue(
             is_text & (number_like > 0) & (number_like < seen),
             "mixed_data_types",
-            "Column contains mix of numeric and non-numeric values",
+            "some values read as numbers, others do not",
             "medium",
         ),
         _issue(
             is_text & (F.col("upper") > 0) & (F.col("lower") > 0),
             "inconsistent_casing",
-            "Column contains mix of upper and lower case values",
+            "some values are in capitals, others in small letters",
             "low",
         ),
-        _issue(is_text & (F.col("special") > 0), "special_characters", "Column contains special characters", "low"),
+        _issue(is_text & (F.col("special") > 0), "special_characters", "values hold signs beyond letters, digits and blanks", "low"),
         _issue(
             ~F.col("is_number") & (F.col("distinct") > 0) & (kind_share > MANY_DISTINCT),
             "high_cardinality",
-            F.concat(F.lit("Column has "), F.format_string("%.1f", kind_share), F.lit("% unique values")),
+            F.concat(F.lit("different values for "), F.format_string("%.1f", kind_share), F.lit("% of the rows")),
             "medium",
         ),
     )

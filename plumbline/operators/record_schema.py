@@ -14,8 +14,9 @@ from plumbline.functions.numbers import to_double
 from plumbline.operators.columns import INTEGRAL, NUMERIC, TEMPORAL, TEXT, as_text, type_of, value
 from plumbline.operators.rules import RowCheck, count_checks
 
-# Fixed value: what an e-mail address looks like.
-EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+#: A name without blanks, quotes or brackets, and a host of at least two labels, the last of letters only.
+LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+EMAIL = rf"""^[^\s@"<>(),:;\\\[\]]+@(?:{LABEL}[.])+[A-Za-z]{{2,}}$"""
 
 
 def _number(kind: T.DataType, c: Column) -> Column:
