@@ -44,40 +44,64 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# The given conversations have no tool calls. A user's turn is read as a call that refers to the user's turn
-# before it, the assistant's answer to it as its result.
+# The given conversations have no tool calls. A user's turn is read as a call, the assistant's answer to it as its result. By a
+# checksum of its identifier, a call refers to the user's next turn (0 to 3 of 10), or else to the one before, unless that refers
+# forward itself (0 to 2; with 3 it does all the same, which makes a cycle).
 CALL_SCHEMAS = {
     "ask": {
         "properties": {"query": {"type": "string", "minLength": 20, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0, "maximum": 1}},
         "required": ["query", "turn"],
     },
     "follow_up": {
-        "properties": {"query": {"type": "string", "minLength": 20, "maxLength": 250}, "turn": {"type": "integer", "minimum": 2}},
+        "properties": {"query": {"type": "string", "minLength": 20, "maxLength": 250}, "turn": {"type": "integer", "minimum": 2, "enum": [2, 3.0, 4, 5, 6, 8]}},
         "required": ["query", "turn"],
     },
 }
 
-CALLS_SQL = """
-WITH calls AS (
-    SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, CASE WHEN turn < 2 THEN 'ask' ELSE 'follow_up' END AS name,
-           CASE WHEN turn < 2 THEN []::VARCHAR[] ELSE [conv_id || ':' || (turn - 2)] END AS depends_on
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+CALLS_SQL = f"""
+WITH RECURSIVE asked AS (
+    SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, {_crc_sql("conv_id || ':' || turn")} % 10 AS k,
+           {_crc_sql("conv_id || ':' || (turn - 2)")} % 10 AS k_before
     FROM conversations WHERE role = 'user'),
+calls AS (
+    SELECT *, CASE WHEN turn < 2 THEN 'ask' ELSE 'follow_up' END AS name,
+           CASE WHEN k <= 3 THEN turn + 2 WHEN turn >= 2 AND k_before > 2 THEN turn - 2 END AS refers,
+           CASE WHEN refers IS NULL THEN []::VARCHAR[] ELSE [conv_id || ':' || refers] END AS depends_on
+    FROM asked),
 results AS (
     SELECT conv_id || ':' || (turn - 1) AS of_call, min(text) AS content, count(*) AS n_results FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+sizes AS (SELECT conv_id, count(*) AS n FROM calls GROUP BY conv_id),
+walk AS (
+    SELECT call_id, conv_id, turn AS place, refers, 0::BIGINT AS steps FROM calls
+    UNION ALL
+    SELECT w.call_id, w.conv_id, c.turn, c.refers, steps + 1 FROM walk w JOIN calls c ON w.conv_id = c.conv_id AND w.refers = c.turn JOIN sizes s ON w.conv_id = s.conv_id
+    WHERE steps <= n),
+ordered AS (
+    SELECT call_id, CASE WHEN max(steps) <= max(n) THEN max(place)::BIGINT END AS major, CASE WHEN max(steps) <= max(n) THEN arg_max(steps, place) END AS minor
+    FROM walk JOIN sizes USING (conv_id) GROUP BY call_id),
 checked AS (
     SELECT *, list_filter([
         CASE WHEN length(text) < 20 THEN 'query: minLength' END,
         CASE WHEN length(text) > CASE name WHEN 'ask' THEN 400 ELSE 250 END THEN 'query: maxLength' END,
-        CASE WHEN turn >= 2 AND depends_on[1] NOT IN (SELECT call_id FROM calls) THEN 'unknown call: ' || depends_on[1] END], lambda e: e IS NOT NULL) AS errors
-    FROM calls)
-SELECT CASE WHEN call_id IS NOT NULL THEN conv_id END AS conv_id, coalesce(call_id, of_call) AS call_id, name, turn AS major,
-       CASE WHEN call_id IS NOT NULL THEN 0::BIGINT END AS minor,
+        CASE WHEN turn >= 2 AND turn NOT IN (2, 3, 4, 5, 6, 8) THEN 'turn: enum' END,
+        CASE WHEN refers IS NOT NULL AND depends_on[1] NOT IN (SELECT call_id FROM calls) THEN 'unknown call: ' || depends_on[1] END,
+        CASE WHEN major IS NULL THEN 'cyclic references' END], lambda e: e IS NOT NULL) AS errors
+    FROM calls JOIN ordered USING (call_id))
+SELECT CASE WHEN call_id IS NOT NULL THEN conv_id END AS conv_id, coalesce(call_id, of_call) AS call_id, name, major, minor,
        CASE WHEN call_id IS NULL THEN 'orphan' WHEN of_call IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
        coalesce(n_results, 0) AS n_results, CASE WHEN call_id IS NOT NULL THEN len(errors) = 0 END AS valid,
        array_to_string(errors, '; ') AS errors,
-       CAST(to_json({
-           'arguments': CASE WHEN call_id IS NOT NULL THEN {'query': text, 'turn': turn} END,
-           'depends_on': coalesce(depends_on, []::VARCHAR[]), 'id': coalesce(call_id, of_call), 'name': name, 'result': content}) AS VARCHAR) AS json
+       CAST(to_json({{
+           'arguments': CASE WHEN call_id IS NOT NULL THEN {{'query': text, 'turn': turn}} END,
+           'depends_on': coalesce(depends_on, []::VARCHAR[]), 'id': coalesce(call_id, of_call), 'name': name, 'result': content}}) AS VARCHAR) AS json
 FROM checked FULL OUTER JOIN results ON call_id = of_call
 """
 
@@ -85,16 +109,20 @@ FROM checked FULL OUTER JOIN results ON call_id = of_call
 @register(CALLS_SQL)
 def op1_tool_calls(spark, sf_dir):
     turns = _table(spark, sf_dir, "conversations")
-    first = F.col("turn") < 2
+    checksum = lambda turn: F.crc32(F.concat_ws(":", "conv_id", turn).cast("binary")) % 10
+    turn, k, k_before = F.col("turn"), checksum(F.col("turn")), checksum(F.col("turn") - 2)
+    refers = F.when(k <= 3, turn + 2).when((turn >= 2) & (k_before > 2), turn - 2)
+    # whole numbers written as such and with a fraction of zero: the JSON has one form
+    written = F.when(turn % 4 == 0, turn.cast("string")).otherwise(F.concat(turn.cast("string"), F.lit(".0")))
     calls = turns.where("role = 'user'").select(
         F.col("conv_id").alias("conversation"),
         F.concat_ws(":", "conv_id", "turn").alias("call_id"),
-        F.col("turn").alias("position"),
-        F.when(first, "ask").otherwise("follow_up").alias("name"),
-        F.to_json(F.struct("turn", F.col("text").alias("query"))).alias("arguments"),
-        F.when(first, F.array().cast("array<string>")).otherwise(F.array(F.concat_ws(":", "conv_id", F.col("turn") - 2))).alias("depends_on"),
+        turn.alias("position"),
+        F.when(turn < 2, "ask").otherwise("follow_up").alias("name"),
+        F.regexp_replace(F.to_json(F.struct("turn", F.col("text").alias("query"))), r'^\{"turn":[0-9]+', F.concat(F.lit('{"turn":'), written)).alias("arguments"),
+        F.when(refers.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.concat_ws(":", "conv_id", refers))).alias("depends_on"),
     )
-    results = turns.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    results = turns.where("role = 'assistant'").select(F.concat_ws(":", "conv_id", turn - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
     linked = tool_calls.link(calls, results, CALL_SCHEMAS)
     return linked.withColumn("errors", F.array_join("errors", "; ")).withColumnRenamed("conversation", "conv_id")
 
@@ -249,10 +277,7 @@ def op10_near_duplicates(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), near_duplicates.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
 
 
-# CRC-32 of a decimal number, bit by bit.
-CRC_SQL = """xor(4294967295, list_reduce(
-    list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda x: ascii(x)::BIGINT)),
-    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+CRC_SQL = _crc_sql("coalesce(CAST(doc_id AS VARCHAR), '')")
 
 LEAF_PARTS = ("doc_id", "source", "lang", "n_chars", "text")
 
