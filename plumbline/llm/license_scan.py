@@ -10,7 +10,7 @@ the template's words that the alignment covers, and its span in words and charac
 
 Of matches that overlap in a text, the one with most matched words is reported; a template that occurs
 several times in a text is reported each time. A null or empty text has no match. Templates without words
-match nothing; of equal templates the first by name is reported. Repeated rows are reported alike.
+match nothing; of equal templates the first by name is reported. Texts are read whole, of any length; repeated rows are reported alike.
 An empty table gives an empty table. Other columns are not read.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,15 @@ GRAM, WINDOW, BAND = 3, 3, 8
 WORD = re.compile(r"[^\W_]+")
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-# Notices by which works are commonly licensed.
-TEMPLATES = {
+# Notices by which works are commonly licensed. The licenses' own texts, or the notices that they ask to be put
+# at the head of a file, lie beside this in files named like the licenses, and are templates ending in ``-text``.
+NOTICES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the'
         " License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
-    "BSD-3-Clause": (
+    "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
         " conditions are met"
     ),
@@ -53,11 +55,13 @@ TEMPLATES = {
         " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
     "MIT": "Released under the MIT License.",
-    "MIT-text": (
+    "MIT-opening": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation"
         " files, to deal in the Software without restriction"
     ),
 }
+TEXTS = {file.stem + "-text": file.read_text(encoding="utf-8") for file in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+TEMPLATES = NOTICES | TEXTS
 
 
 def fingerprints(words: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -214,9 +214,9 @@ def test_mixing_targets_sum_up(spark):
 
 def test_licenses(odd, none, docs_of):
     assert run(odd, none, license_scan.scan, rows=0) == []
-    text = "Intro. " + license_scan.TEMPLATES["MIT-text"].replace("hereby ", "") + " The end. Released under the MIT License."
+    text = "Intro. " + license_scan.TEMPLATES["MIT-opening"].replace("hereby ", "") + " The end. Released under the MIT License."
     found = license_scan.scan(docs_of([(1, text, None, None)])).collect()
-    assert [r["license"] for r in found] == ["MIT-text", "MIT"]
+    assert [r["license"] for r in found] == ["MIT-opening", "MIT"]
     assert 0.9 < found[0]["coverage"] < 1 and text[found[0]["first_char"] :].startswith("Permission is granted")
     assert text[found[1]["first_char"] : found[1]["end_char"]] == "Released under the MIT License"
 
