@@ -52,17 +52,20 @@ def _spark_type(found: str | None) -> str | None:
     return re.sub(r"\bDECIMAL\(\d+,\d+\)", "DOUBLE", found)
 
 
-def _parsed(c: Column) -> tuple[Column, Column, Column]:
-    """A text as a variant, and whether it is an object or an array."""
-    variant = F.try_parse_json(c)
-    shape = F.schema_of_variant(variant)
-    return variant, F.coalesce(shape.startswith("OBJECT"), F.lit(False)), F.coalesce(shape.startswith("ARRAY"), F.lit(False))
+def _parsed(texts: DataFrame) -> DataFrame:
+    """A frame with a column ``text``, with ``json``, the text as a variant, and whether it is an ``object`` or an ``array``.
+
+    Step by step, each on the column before, so that the text is parsed once.
+    """
+    parsed = texts.withColumn("json", F.try_parse_json("text"))
+    parsed = parsed.withColumn("shape", F.schema_of_variant("json"))
+    is_a = lambda kind: F.coalesce(F.col("shape").startswith(kind), F.lit(False))
+    return parsed.withColumns({"object": is_a("OBJECT"), "array": is_a("ARRAY")}).drop("shape")
 
 
 def json_schemas(df: DataFrame, column: str) -> tuple[str | None, str | None]:
     """The Spark types that hold every JSON object and every JSON array in a text column, from all its rows; None if there are none."""
-    variant, is_object, is_array = _parsed(col(column))
-    parsed = df.select(variant.alias("json"), is_object.alias("object"), is_array.alias("array"))
+    parsed = _parsed(df.select(col(column).alias("text")))
     found = parsed.agg(*[F.schema_of_variant_agg(F.when(F.col(kind), F.col("json"))) for kind in ("object", "array")]).first()
     return _spark_type(found[0]), _spark_type(found[1])
 
@@ -78,9 +81,8 @@ def flatten_json_text(df: DataFrame, column: str, schema: str | None = None, sep
     kinds = ([schema, None] if not schema.upper().startswith("ARRAY") else [None, schema]) if schema else json_schemas(df, name)
     if kinds == (None, None):
         return df
-    variant, is_object, is_array = _parsed(col(name))
     others = [col(n) for n in df.columns if n != name]
-    parsed = df.select(*[c.alias(f"c{i}") for i, c in enumerate(others)], col(name).alias("text"), variant.alias("json"), is_object.alias("object"), is_array.alias("array"))
+    parsed = _parsed(df.select(*[c.alias(f"c{i}") for i, c in enumerate(others)], col(name).alias("text")))
     cells = [
         F.when(F.col(shape), F.try_variant_get(F.col("json"), "$", kind)).alias(shape) for shape, kind in zip(("object", "array"), kinds) if kind
     ]
