@@ -3,6 +3,10 @@
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last
 return the columns of the documents they were given, whatever else these hold; the last adds the number
 of the copy. Null texts fail the quality rules. Empty tables pass through all stages.
+
+Texts are taken whole, however long. The first two stages and the fourth decide each row by its text, so equal rows share
+their fate, whatever their ids. The third leaves one of them, rows being told apart by a number. The last draws a coin for
+each row, also for equal ones.
 """
 
 from __future__ import annotations

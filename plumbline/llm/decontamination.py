@@ -10,8 +10,9 @@ A phrase that very many texts share is one phrase here, and its postings are spr
 grouping. Phrases and their terms are broadcast if a count shows that they are few; else Spark shuffles.
 
 Null texts have no words. Rows are told apart by a number given while indexing, so repeated or null ids
-mix nothing up. Null or empty items make no phrase; items with the same words share one. Without
-documents or without items the results are empty, or clean. Other columns are not read.
+mix nothing up, and repeated rows are looked at each. Texts of any length are taken whole. Null or empty items make no
+phrase; items with the same words share one. An item without an id marks the words of its windows as hit, but has no name to
+be listed or counted under. Without documents or without items the results are empty, or clean. Other columns are not read.
 """
 
 from __future__ import annotations

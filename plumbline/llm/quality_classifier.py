@@ -7,8 +7,8 @@ Mahalanobis distances, plus log-determinants and priors, and is again one Spark
 the cached inverse factors.
 
 Null and empty texts have statistics too (all counts zero) and are scored like any other. If the fit has
-rows of one class or none, every score is that class's prior (0.5 without rows). Ties score alike; several
-labels of an id count as the largest. Other columns are not read, so their names cannot clash.
+rows of one class or none, every score is that class's prior (0.5 without rows). Ties and repeated rows score alike, and each
+repeated row with a label teaches; several labels of an id count as the largest. Texts are measured whole, of any length. Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

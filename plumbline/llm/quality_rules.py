@@ -2,7 +2,7 @@
 
 Every measure is a Spark expression over one row, so the operator neither shuffles nor leaves the JVM.
 A null text is the empty text: no words, no lines, and it fails the base rules. Rows are treated one by
-one: ties and repeated rows cannot matter, an empty table gives an empty table. Other columns of the
+one: ties and repeated rows cannot matter, texts of any length are measured whole, an empty table gives an empty table. Other columns of the
 table are not looked at, so their names cannot clash.
 """
 
