@@ -157,12 +157,13 @@ def manifest(df: DataFrame, group: str, order: str, leaf_of: Column, carry: Mapp
     ``digest`` is the row's leaf, ``subroot`` the top of its group's tree, ``root`` that of all groups' tops, ``way`` the
     siblings between, as ``array<struct<left, right>>`` (see :func:`folded` and :func:`proof`). ``grp.value`` is the group.
     """
-    carry = dict(carry or {})
-    rows = df.select(F.struct(df[group].alias("value")).alias("grp"), df[order].alias("id"), leaf_of.alias("digest"), *[c.alias(n) for n, c in carry.items()])
+    # as one column, so that their names can't clash with others
+    carried = F.struct(F.lit(0).alias("none"), *[c.alias(n) for n, c in (carry or {}).items()]).alias("carried")
+    rows = df.select(F.struct(df[group].alias("value")).alias("grp"), df[order].alias("id"), leaf_of.alias("digest"), carried)
     made = levels(numbered(stage(rows, "rows"), ["id", "digest"]), arity)
     # The tops of the groups are the leaves of one more tree
     tops = stage(tops_of(made).select(F.struct(F.lit(0).alias("value")).alias("grp"), F.col("grp").alias("below"), "digest"), "tops")
     over = levels(numbered(tops, ["below"]), arity)
     root = over[-1].select("grp", F.array().cast("array<struct<left: binary, right: binary>>").alias("way"), F.col("digest").alias("root"))
     upper = ways(over, root, arity).select(F.col("below").alias("grp"), "way", F.col("digest").alias("subroot"), "root")
-    return ways(made, stage(upper, "tops"), arity).select("id", "grp", "digest", *carry, "subroot", "root", "way")
+    return ways(made, stage(upper, "tops"), arity).select("id", "grp", "digest", *[F.col("carried")[n].alias(n) for n in carry or {}], "subroot", "root", "way")

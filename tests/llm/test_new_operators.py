@@ -259,10 +259,15 @@ def test_extraction_on_odd_pages(pages):
     assert wrappers.extract(pages.limit(0)).count() == 0
 
 
-def test_wrappers_are_merged_few_at_a_time(pages, monkeypatch):
+def test_wrappers_are_merged_few_at_a_time(spark, pages, monkeypatch):
     monkeypatch.setattr(wrappers, "BROADCAST_BYTES", -1)
     one = {r["host"]: r["wrapper"] for r in wrappers.infer(pages.coalesce(1)).collect()}
     many = wrappers.infer(pages.repartition(60)).collect()
     assert sorted(r["host"] for r in many) == sorted(one) == ["", "h.example", "hot.example"]
-    shuffled = wrappers.extract(pages.repartition(60))
-    assert shuffled.count() == 405 and "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        shuffled = wrappers.extract(pages.repartition(60))
+        assert shuffled.count() == 405 and "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -19,7 +19,7 @@ def linked(spark, rows, schemas, results=()):
     [
         ('{"a": 1e0, "b": [1.0, -0, 10]}', '{"a":1,"b":[1,0,10]}'),
         ('{"a": 1.50, "b": 1.5e0, "c": 15E-1}', '{"a":1.5,"b":1.5,"c":1.5}'),
-        ('{"a": "1e0 and \\\\"2.0\\\\"", "b": "x\\\\\\\\"}', '{"a":"1e0 and \\\\"2.0\\\\"","b":"x\\\\\\\\"}'),
+        (r'{"a": "1e0 and \"2.0\"", "b": "x\\"}', r'{"a":"1e0 and \"2.0\"","b":"x\\"}'),
         ('{"a": 123456789012345678901, "b": 1e20}', '{"a":123456789012345678901,"b":100000000000000000000}'),
         ('{"z": true, "a": null}', '{"a":null,"z":true}'),
     ],
