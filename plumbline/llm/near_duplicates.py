@@ -86,7 +86,8 @@ def links(prints: DataFrame) -> DataFrame:
     segments = F.expr(f"inline(transform(sequence(0, {DISTANCE}), s -> struct(s AS segment, shiftright(others, s * {width}) & {(1 << width) - 1}L AS part)))")
     equal = cut.select("print", "half", "bits", segments)
     left, right = equal.withColumnRenamed("print", "a"), equal.withColumnRenamed("print", "b")
-    same = left.join(right, ["half", "bits", "segment", "part"]).select("a", "b", "half", "segment", F.col("a").bitwiseXOR(F.col("b")).alias("d"))
+    # shuffled by hint: sizes are guessed from before the keys multiply the rows, so a side would be broadcast that must not be
+    same = left.hint("shuffle_merge").join(right, ["half", "bits", "segment", "part"]).select("a", "b", "half", "segment", F.col("a").bitwiseXOR(F.col("b")).alias("d"))
     # the other half of the difference has no equal segment before this one
     rest = F.expr("shiftrightunsigned(d, (1 - half) * 32) & 4294967295L")
     earlier = F.lit(True)
@@ -97,7 +98,7 @@ def links(prints: DataFrame) -> DataFrame:
     bit = F.expr(f"inline(transform(sequence(0, {HALF - 1}), bit -> struct(bit, shiftright(bits, bit) & 1 AS is_set, bits & ~shiftleft(1L, bit) AS without)))")
     one = cut.select("print", "half", bit)
     unset, is_set = (one.where(F.col("is_set") == k).select(F.col("print").alias(n), "half", "bit", "without") for k, n in ((0, "x"), (1, "y")))
-    differ = unset.join(is_set, ["half", "bit", "without"])
+    differ = unset.hint("shuffle_merge").join(is_set, ["half", "bit", "without"])
     differ = differ.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "half", F.col("x").bitwiseXOR(F.col("y")).alias("d"))
     # what the lower half finds, equal or with one bit, the upper one doesn't report
     by_lower = F.expr("bit_count(d & 4294967295L) <= 1")
