@@ -37,7 +37,7 @@ START = "▁"
 #: Letters after which sums are scaled: each is 1e-7 at least, so they stay far above the least double.
 STRETCH = 32
 #: Cells of a table of pieces that are held at once, a word at least.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: Words whose log probabilities a task remembers.
 REMEMBERED = 200_000
 
