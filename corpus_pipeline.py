@@ -34,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str, cut: float = 0.5) -> DataFrame:
-    """Documents that are more likely not toxic. The model is fitted on the labels of the documents given."""
+    """Documents that are more likely not toxic. The model is fitted on all labels of the documents given."""
     scorer = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.scored(_whole(docs), scorer).where(F.col("score") < cut).select("document.*")
 

@@ -2,11 +2,13 @@
 
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from plumbline.llm import toxicity
 from plumbline.llm.common import remainder
 
@@ -91,3 +93,20 @@ def test_the_words_that_weigh_are_found_among_all_tokens():
         text = " ".join(rng.choice(tokens) for _ in range(rng.randrange(9)))
         found = sorted((x for x in map(scorer.weight, set(restorer.words(text))) if x > 0), reverse=True)
         assert scorer.evidence(text) == [1.0, *(found + [0.0, 0.0])[:2], math.log1p(len(found))]
+
+def test_the_pipeline_learns_from_all_clean_documents(spark, tmp_path):
+    """Four toxic rows with a word are too few beside 6,000 clean ones, and enough beside 14,000."""
+    rng = random.Random(13)
+    words = ["".join(rng.sample("abdeiklmnorstu", 7)) for _ in range(300)]
+    taught = [i for i in range(30_000) if zlib.crc32(str(i).encode()) % 5][:15_500]
+    rows = []
+    for place, i in enumerate(taught):
+        text = [rng.choice(words) for _ in range(12)]
+        if place >= 14_300:
+            text[3] = RARE if place < 14_304 else "idiot"
+        rows.append((i, " ".join(text), int(place >= 14_300)))
+    unknown = [(40_000, f"{rows[0][1]} {RARE}"), (40_001, f"{rows[1][1]} idiot"), (40_002, f"{rows[2][1]} {words[0]}")]
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([r[:2] for r in rows] + unknown, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.clean(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {i for i, _, y in rows if y == 0} | {40_002}
